@@ -13,7 +13,7 @@ empty ones too.
 Skew.  Equal sets collapse into one class before anything else.  A fingerprint held by
 more than ``FEW`` classes is hot: only classes with at most D other segments need it (a
 class with more is sure to meet each of its partners elsewhere).  Those classes are
-compared with the smallest member only (a star); then, after components are known, pairs
+compared with the most typical member only (a star); then, after components are known, pairs
 of different components that still share a hot fingerprint are compared through a dense
 parity sketch first and verified.  So no group is expanded into all its pairs, and no link
 that could join two components is left out.
@@ -27,10 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from .common import written
+from .common import released, written
 
 SHINGLE = 5
 #: Linked when HUNDREDTHS * union <= 100 * intersection.
@@ -39,8 +40,9 @@ HUNDREDTHS = 80
 GROWTH = 1.6
 #: A fingerprint in up to so many classes gives all their pairs.
 FEW = 8
-#: 64-bit words of the dense parity sketch that thins residual pairs.
-DENSE = 8
+#: 64-bit words of the dense parity sketch that thins pairs before their texts are fetched.
+DENSE = 16
+SKETCH = [f"s{i}" for i in range(DENSE)]
 WORDS = 200_000
 P1, P2, P3 = np.uint64(0x9E3779B185EBCA87), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -51,32 +53,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Hashes(dict):
+    """Hash of each word seen; emptied when large (memory bound, no effect on results)."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > WORDS:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of a text: A-Z lower-cased, words between ASCII white space."""
 
     def __init__(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Hashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode().lower().split()
         if not words:
             return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > WORDS:
-            known.clear()
-        try:
-            h = [known[w] for w in words]
-        except KeyError:
-            for w in words:
-                if w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            h = [known[w] for w in words]
-        a = np.array(h, np.uint64)
+        a = np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
         n = min(SHINGLE, len(a))
         out = a[: len(a) - n + 1].copy()
         for i in range(1, n):
-            out = mixed(out * P3 + a[i : len(a) - n + 1 + i])
-        return np.unique(mixed(out + np.uint64(n)))
+            out *= P3
+            out += a[i : len(a) - n + 1 + i]
+            out ^= out >> np.uint64(29)
+        out = mixed(out + np.uint64(n))
+        out.sort()
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]
+
+
+def dense(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch of 64 * DENSE bits: bit i is set if an odd number of shingles falls on it."""
+    odd = np.bincount((shingles % np.uint64(64 * DENSE)).astype(np.int64), minlength=64 * DENSE) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def class_id(shingles: np.ndarray) -> int:
@@ -129,34 +141,24 @@ def fingerprints(s: np.ndarray, k: int) -> tuple[np.ndarray, int]:
     return mixed(value ^ (place * P3 + np.full(1, k, np.uint64) * P1)), full
 
 
-def _classes(docs: DataFrame, text: str, ident: str) -> DataFrame:
-    """(id, n_shingles, class, and for up to two bands: band, segments with bits)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
-        for batch in batches:
-            n, c = [], []
-            for t in batch.column(1):
-                s = shingle(t.as_py())
-                n.append(len(s))
-                c.append(class_id(s))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["__id", "n_shingles", "class"])
-
+def _emit(docs: DataFrame, text: str, ident: str, parts: int) -> DataFrame:
+    """One pass over the texts: a row (id, n, class) for each document, and fingerprints packed by target
+    partition (for each class and band its keys, 8 bytes each)."""
     src = docs.select(F.col(ident).alias("__id"), F.col(text).alias("__text"))
-    return src.mapInArrow(run, f"__id {src.schema['__id'].dataType.simpleString()}, n_shingles long, class long")
-
-
-def _emit(docs: DataFrame, text: str, parts: int) -> DataFrame:
-    """Fingerprints packed by target partition: for each class and band its keys, 8 bytes each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler()
         for batch in batches:
-            seen: set[int] = set()
+            ids, n_set, classes, seen = batch.column(0), [], [], set()
+            sketches = []
             who, band, full, count, keys = [], [], [], [], []
-            for t in batch.column(0):
+            for t in batch.column(1):
                 s = shingle(t.as_py())
-                if not len(s) or (c := class_id(s)) in seen:
+                c = class_id(s)
+                n_set.append(len(s))
+                classes.append(c)
+                sketches.append(dense(s))
+                if not len(s) or c in seen:
                     continue
                 seen.add(c)
                 for k in band_of(len(s)):
@@ -166,30 +168,44 @@ def _emit(docs: DataFrame, text: str, parts: int) -> DataFrame:
                     full.append(n)
                     count.append(len(f))
                     keys.append(f)
-            if not who:
-                continue
-            flat, entry = np.concatenate(keys), np.repeat(np.arange(len(who)), count)
-            part = (flat % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            flat, entry, part = flat[order], entry[order], part[order]
-            cuts = np.searchsorted(part, np.arange(parts + 1))
             ps, blobs = [], []
-            head = np.array([who, band, full], np.int64)
-            for p in range(parts):
-                a, b = cuts[p], cuts[p + 1]
-                if a < b:
-                    own, n = np.unique(entry[a:b], return_counts=True)
-                    ps.append(p)
-                    blobs.append(np.int64(len(own)).tobytes() + head[:, own].tobytes() + n.astype(np.int64).tobytes() + flat[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary())], names=["p", "blob"])
-
-    return docs.select(F.col(text).alias("__text")).mapInArrow(run, "p int, blob binary")
+            if who:
+                flat, entry = np.concatenate(keys), np.repeat(np.arange(len(who), dtype=np.int32), count)
+                part = (flat % np.uint64(parts)).astype(np.uint16)
+                order = np.argsort(part, kind="stable")
+                flat, entry, part = flat[order], entry[order], part[order]
+                cuts = np.searchsorted(part, np.arange(parts + 1))
+                head = np.array([who, band, full], np.int64)
+                for p in range(parts):
+                    own = entry[cuts[p] : cuts[p + 1]]
+                    if len(own):
+                        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                        n = np.diff(np.append(first, len(own)))
+                        ps.append(p)
+                        blobs.append(np.int64(len(first)).tobytes() + head[:, own[first]].tobytes() + n.astype(np.int64).tobytes() + flat[cuts[p] : cuts[p + 1]].tobytes())
+            m, k = len(classes), len(ps)
+            cols = [pa.array([c % parts for c in classes] + ps, pa.int32()), pa.array([None] * m + blobs, pa.binary()), pa.concat_arrays([ids, pa.nulls(k, ids.type)]), pa.array(n_set + [None] * k, pa.int64()), pa.array(classes + [None] * k, pa.int64())]
+            bits = np.array(sketches, np.int64).reshape(m, DENSE)
+            cols += [pa.concat_arrays([pa.array(np.ascontiguousarray(bits[:, i])), pa.nulls(k, pa.int64())]) for i in range(DENSE)]
+            yield pa.RecordBatch.from_arrays(cols, names=["p", "blob", "id", "n", "class", *SKETCH])
+
+    return src.mapInArrow(run, f"p int, blob binary, id {src.schema['__id'].dataType.simpleString()}, n long, class long, " + ", ".join(f"{x} long" for x in SKETCH))
+
+
+def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    fresh = np.ones(len(a), bool)
+    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    return a[fresh], b[fresh]
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """One partition of fingerprints: pairs of small groups (kind 0) and members of hot ones (kind 1)."""
-    head, count, keys = [], [], []
-    for blob in table.column("blob"):
+    """One partition of fingerprints: pairs of small groups (kind 0) and members of hot ones (kind 1); documents pass (kind 2)."""
+    blobs = table.column("blob")
+    docs = table.filter(blobs.is_null())
+    head, count, keys = [np.empty((3, 0), np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for blob in blobs.drop_null():
         raw = blob.as_buffer()
         n = int(np.frombuffer(raw, np.int64, 1)[0])
         x = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n)
@@ -210,61 +226,83 @@ def _meet(table: pa.Table) -> pa.Table:
     key, entry, who = key[fresh], entry[fresh], who[fresh]
     start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
     size = np.diff(np.append(start, len(key)))
-    pairs = []
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for n in range(2, FEW + 1):
         at = start[size == n]
         for i in range(n):
             for j in range(i + 1, n):
-                pairs.append(np.stack([who[at + i], who[at + j]], axis=1))
-    pairs = np.unique(np.concatenate(pairs), axis=0) if pairs else np.empty((0, 2), np.int64)
+                u, v = distinct(who[at + i], who[at + j])
+                left.append(u)
+                right.append(v)
+    a, b = distinct(np.concatenate(left), np.concatenate(right))
     hot = np.repeat(size > FEW, size)
-    n, h = len(pairs), int(hot.sum())
+    n, h = len(a), int(hot.sum())
+    m = docs.num_rows
+    kind = docs.schema.field("id").type
     cols = {
-        "kind": np.concatenate([np.zeros(n, np.int32), np.ones(h, np.int32)]),
-        "key": np.concatenate([np.zeros(n, np.int64), key[hot]]),
-        "a": np.concatenate([pairs[:, 0], who[hot]]),
-        "b": np.concatenate([pairs[:, 1], head[2][entry[hot]]]),
-        "band": np.concatenate([np.zeros(n, np.int32), head[1][entry[hot]].astype(np.int32)]),
+        "kind": np.concatenate([np.zeros(n, np.int32), np.ones(h, np.int32), np.full(m, 2, np.int32)]),
+        "key": np.concatenate([np.zeros(n, np.int64), key[hot], np.zeros(m, np.int64)]),
+        "a": np.concatenate([a, who[hot], docs.column("class").to_numpy()]),
+        "b": np.concatenate([b, head[2][entry[hot]], docs.column("n").to_numpy()]),
+        "band": np.concatenate([np.zeros(n, np.int32), head[1][entry[hot]].astype(np.int32), np.zeros(m, np.int32)]),
+        "id": pa.concat_arrays([pa.nulls(n + h, kind), *docs.column("id").chunks]),
     }
+    cols |= {x: pa.concat_arrays([pa.nulls(n + h, pa.int64()), *docs.column(x).chunks]) for x in SKETCH}
     return pa.table(cols)
 
 
-def _sets(docs: DataFrame, text: str, ident: str, wanted: DataFrame) -> DataFrame:
-    """(class, set, s0..): the sets of the wanted documents, one row a class."""
-    small = wanted.hint("shuffle_hash")
-    src = docs.select(F.col(ident).alias("__id"), F.col(text).alias("__text")).join(small, F.col("__id").eqNullSafe(F.col("__want")), "left_semi").select("__text")
+#: Partners of one class that are verified by one task at most (about).
+SPREAD = 256
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler()
-        for batch in batches:
-            found = [shingle(t.as_py()) for t in batch.column(0)]
-            dense = np.zeros((len(found), DENSE), np.uint64)
-            for row, s in zip(dense, found, strict=True):
-                bit = (s % np.uint64(64 * DENSE)).astype(np.int64)
-                odd = np.flatnonzero(np.bincount(bit, minlength=64 * DENSE) & 1)
-                np.bitwise_or.at(row, odd >> 6, np.uint64(1) << (odd & 63).astype(np.uint64))
-            cols = [pa.array([class_id(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(dense[:, i].view(np.int64)) for i in range(DENSE)], names=["class", "set", *[f"s{i}" for i in range(DENSE)]])
 
-    out = src.mapInArrow(run, "class long, set binary, " + ", ".join(f"s{i} long" for i in range(DENSE)))
-    return out.dropDuplicates(["class"])
+def _texts(docs: DataFrame, text: str, ident: str, one: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class, text) of the classes in the pairs: texts travel, as they are smaller than sets."""
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    want = one.join(ends, "class", "left_semi")
+    src = docs.select(F.col(ident).alias("__id"), F.col(text).alias("__text"))
+    return src.join(want.hint("shuffle_hash"), F.col("__id").eqNullSafe(F.col("__want"))).select("class", "__text")
+
 
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough.
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar enough."""
-    a = sets.select(F.col("class").alias("a"), F.col("set").alias("sa"))
-    b = sets.select(F.col("class").alias("b"), F.col("set").alias("sb"))
+    Every a meets its partners in tasks of about SPREAD of them: a's text is copied to each such task,
+    partners go to one.
+    """
+    n = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).withColumn("salts", F.expr(f"CAST(1 + n div {SPREAD} AS int)"))
+    dealt = pairs.join(n, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+    heads = n.select("a", F.col("a").alias("b"), F.explode(F.expr("sequence(0, salts - 1)")).alias("salt"))
+    rows = dealt.union(heads.select("a", "b", "salt")).withColumnRenamed("b", "class")
+    rows = texts.join(rows.hint("shuffle_hash"), "class").select("a", "salt", "class", (F.col("class") != F.col("a")).alias("partner"), "__text")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", "partner")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle, at, own = Shingler(), None, np.empty(0, np.uint64)
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(100 * both >= HUNDREDTHS * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            left, right = [], []
+            for a, c, partner, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True):
+                s = shingle(t.as_py())
+                if class_id(s) != c:
+                    continue  # another row under the same identifier
+                if not partner:
+                    at, own = a, s
+                elif at == a:
+                    both = np.concatenate([own, s])
+                    both.sort()
+                    same = int(np.count_nonzero(both[1:] == both[:-1]))
+                    if 100 * same >= HUNDREDTHS * (len(both) - same):
+                        left.append(a)
+                        right.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+
+def _near(l: str, r: str) -> Column:
+    """What holds for every linked pair: sizes in proportion, and a sketch distance within the bound on the difference."""
+    apart = sum((F.bit_count(F.col(f"{l}.{x}").bitwiseXOR(F.col(f"{r}.{x}"))) for x in SKETCH), F.lit(0))
+    n, m = F.col(f"{l}.n_shingles"), F.col(f"{r}.n_shingles")
+    return (apart * (100 + HUNDREDTHS) <= (n + m) * (100 - HUNDREDTHS)) & (F.least(n, m) * 100 >= F.greatest(n, m) * HUNDREDTHS)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -292,34 +330,52 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     Other columns are not read.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(_classes(docs, text, ident))
-    met = written(_emit(docs, text, parts).groupBy("p").applyInArrow(_meet, "kind int, key long, a long, b long, band int"))
+    parts = min(max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1 << 14)
+    met = _emit(docs, text, ident, parts)
+    met = written(met.groupBy("p").applyInArrow(_meet, f"kind int, key long, a long, b long, band int, id {met.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in SKETCH)))
+    released(spark)
+    rows = met.where("kind = 2").select(F.col("id").alias("__id"), F.col("b").alias("n_shingles"), F.col("a").alias("class"))
     hot = met.where("kind = 1").select("band", "key", F.col("a").alias("class"), F.col("b").alias("full"))
     limit = F.element_at(F.array(*[F.lit(most(k)) for k in range(len(EDGES) - 1)]), F.col("band") + 1)
-    need = hot.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full")).where(F.col("full") - F.col("n") <= limit).select("band", "class")
-    hot = written(hot.join(need, ["band", "class"], "left_semi").select("band", "key", "class"))
-    least = hot.groupBy("band", "key").agg(F.min("class").alias("a"))
-    star = hot.join(least, ["band", "key"]).where("a < class").select("a", F.col("class").alias("b"))
-    pairs = written(met.where("kind = 0").select("a", "b").union(star).distinct())
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    need = hot.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full")).where(F.col("full") - F.col("n") <= limit).select("band", "class", "n")
+    hot = written(hot.join(need, ["band", "class"]).select("band", "key", "class", "n"))
+    # the centre of a star is the member with most hot fingerprints: the text that most others are copies of
+    centre = hot.groupBy("band", "key").agg(F.max_by("class", F.struct("n", "class")).alias("a"))
+    hot = hot.drop("n")
+    star = hot.join(centre, ["band", "key"]).where("a != class").groupBy("a", F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("w"))
+    pairs = met.where("kind = 0").select("a", "b", F.lit(0).cast("long").alias("w")).union(star).groupBy("a", "b").agg(F.max("w").alias("w"))
+    sketch = written(met.where("kind = 2 AND b > 0").select(F.col("a").alias("class"), F.col("b").alias("n_shingles"), *SKETCH).dropDuplicates(["class"]))
+    pairs = pairs.join(sketch.alias("l"), F.col("a") == F.col("l.class")).join(sketch.alias("r"), F.col("b") == F.col("r.class")).where(_near("l", "r")).select("a", "b", "w")
+    pairs = written(pairs)
     one = rows.where("n_shingles > 0").groupBy("class").agg(F.min("__id").alias("__want"))
-    sets = written(_sets(docs, text, ident, one.join(ends, "class", "left_semi").select("__want")))
-    edges = written(_verified(pairs, sets))
+    texts = written(_texts(docs, text, ident, one, pairs))
+    released(spark)
+    # each class meets its likeliest partner first; later only pairs that could still join two components
+    edges = written(_verified(pairs.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", "b"), texts))
     label = components(edges)
+    named_pairs = pairs.join(label.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(label.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    later = written(named_pairs.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b"))
+    if not later.isEmpty():
+        found = written(_verified(later, texts))
+        if not found.isEmpty():
+            edges = edges.union(found)
+            label = components(edges)
+    released(spark)
     # pairs of different components that share a hot fingerprint: the dense sketches thin them first
     tagged = hot.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     split = tagged.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
     rest = written(tagged.join(split, ["band", "key"], "left_semi").distinct())
     if not rest.isEmpty():
-        sk = sets.drop("set")
-        full = rest.join(sk, "class").join(rows.select("class", F.col("n_shingles").alias("n")).distinct(), "class")
-        l, r = full.alias("l"), full.alias("r")  # noqa: E741
-        apart = sum((F.bit_count(F.col(f"l.s{i}").bitwiseXOR(F.col(f"r.s{i}"))) for i in range(DENSE)), F.lit(0))
-        cond = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") < F.col("r.class")) & (F.col("l.comp") != F.col("r.comp"))
-        cond &= (apart * (100 + HUNDREDTHS) <= (F.col("l.n") + F.col("r.n")) * (100 - HUNDREDTHS)) & (F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * HUNDREDTHS)
-        more = written(l.join(r, cond).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"))
-        found = written(_verified(more, sets))
+        meets = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & _near("l", "r")
+        # merge joins: a small file may hold many rows, too many to broadcast
+        rest = rest.withColumn("prior", F.lag("key").over(Window.partitionBy("band", "class").orderBy("key")))
+        full = rest.join(sketch.hint("merge"), "class")
+        l, r = full.alias("l"), full.alias("r").hint("merge")  # noqa: E741
+        # not again where the fingerprints before this one are shared too
+        cond = meets & (F.col("l.class") < F.col("r.class")) & F.coalesce(F.col("l.prior") != F.col("r.prior"), F.lit(True))
+        more = written(l.join(r, cond).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct())
+        texts = _texts(docs, text, ident, one, more) if not more.isEmpty() else texts
+        found = written(_verified(more, texts))
         if not found.isEmpty():
             label = components(edges.union(found))
     named = rows.join(label.select(F.col("node").alias("class"), "comp"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
