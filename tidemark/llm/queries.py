@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, neardup, pii, quality
+from . import bpe, chat, flac, mixing, neardup, pii, quality, suffix
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.dedup(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return chat.preference_pairs(turns, chat.consecutive_pairs(turns))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
@@ -28,9 +37,13 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op5_token_counts, op6_personal_data, op7_source_mixing, op8_jaccard_join, op10_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_preference_pairs, op5_token_counts, op6_personal_data, op7_source_mixing, op8_jaccard_join, op9_flac, op10_bpe)}
+ORACLES: dict[str, str] = {"op3_preference_pairs": chat.ORACLE}

@@ -58,37 +58,37 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 
 def window_minimum(h: np.ndarray, w: int) -> np.ndarray:
-    """Place of the smallest value (the first of equals) in each run of w values, by block-wise running minima.
+    """Place of the smallest value, the first of equals, in each run of w values: running minima from both block ends.
 
-    The place is packed into the low bits, which decides ties.
+    The low byte of each value is replaced by its place in its block, which decides ties.
     """
     n = len(h) - w + 1
-    size = -(-len(h) // w) * w
-    v = np.full(size, np.iinfo(np.uint64).max, np.uint64)
-    v[: len(h)] = (h & ~np.uint64(w - 1 | 255)) | (np.arange(len(h), dtype=np.uint64) & np.uint64(255))
-    return _slide(v, n, w, len(h))
-
-
-def _slide(v: np.ndarray, n: int, w: int, length: int) -> np.ndarray:
+    v = np.full(-(-len(h) // w) * w, np.iinfo(np.uint64).max, np.uint64)
+    v[: len(h)] = h & ~np.uint64(255)
+    v.reshape(-1, w)[:] |= np.arange(w, dtype=np.uint64)
     block = v.reshape(-1, w)
-    ahead = np.minimum.accumulate(block, axis=1).ravel()
-    behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()
-    low = np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
+    ahead = np.minimum.accumulate(block, axis=1).ravel()[w - 1 : w - 1 + n]
+    behind = np.minimum.accumulate(block[:, ::-1], axis=1)[:, ::-1].ravel()[:n]
     start = np.arange(n)
-    # the low byte is the place modulo 256; a window is narrower than that
-    return start + ((low & np.uint64(255)).astype(np.int64) - start & 255)
+    left = behind >> np.uint64(8) <= ahead >> np.uint64(8)
+    return np.where(left, start // w * w + (behind & np.uint64(255)).astype(np.int64), (start + w - 1) // w * w + (ahead & np.uint64(255)).astype(np.int64))
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place, least p, greatest p): for each anchor, how far before it the windows start whose anchor it is."""
+def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, least p, greatest p) in texts laid end to end: each anchor, and how far before it the windows start whose anchor it is."""
     if len(data) < SPAN:
         return (np.empty(0, np.int64),) * 3
-    h = grams(data)[: len(data) - CORE + 1]
-    at = window_minimum(h, ROOM + 1)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    at = window_minimum(grams(data)[: len(data) - CORE + 1], ROOM + 1)
+    start = np.arange(len(at))
+    doc = np.searchsorted(ends, start, "right")
+    whole = start + SPAN <= ends[np.minimum(doc, len(ends) - 1)]
+    start, at, doc = start[whole], at[whole], doc[whole]
+    if not len(at):
+        return (np.empty(0, np.int64),) * 3
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])]))
     last = np.append(first[1:], len(at)) - 1
     place = at[first]
-    return place, place - last, place - first
+    return place, place - start[last], place - start[first]
 
 
 def core_hash(data: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -204,7 +204,7 @@ def classes(lcp: np.ndarray, depth: int) -> np.ndarray:
     return np.cumsum(lcp < depth)
 
 
-def repeated(right_lcp: np.ndarray, right_len: np.ndarray, left_rank: np.ndarray, left_lcp: np.ndarray, least: np.ndarray, most: np.ndarray, weight: np.ndarray) -> np.ndarray:
+def repeated(right_lcp: np.ndarray, left_rank: np.ndarray, left_lcp: np.ndarray, least: np.ndarray, most: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """For each suffix (in right order) a row of bits: whether its window at distance p repeats, p in 0..ROOM.
 
     ``left_rank`` is the place of each suffix in the order of left contexts, ``weight`` how many
@@ -224,3 +224,176 @@ def repeated(right_lcp: np.ndarray, right_len: np.ndarray, left_rank: np.ndarray
         many = np.repeat(total > 1, np.diff(np.append(first, len(own))))
         out[own[order[many]], p] = True
     return out
+
+
+#: Bytes of text handled together.
+CHUNK = 1 << 20
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid, text) -> (core, uid, spot): spot packs the anchor's place and its least and greatest p."""
+    for batch in batches:
+        ids, texts = batch.column(0).to_numpy(), batch.column(1)
+        at = 0
+        while at < len(ids):
+            part, size, first = [], 0, at
+            while at < len(ids) and (size < CHUNK or not part):
+                part.append((texts[at].as_py() or "").encode())
+                size += len(part[-1])
+                at += 1
+            ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))
+            data = np.frombuffer(b"".join(part), np.uint8)
+            place, least, most = anchors(data, ends)
+            doc = np.searchsorted(ends, place, "right")
+            own = place - np.concatenate([[0], ends])[doc]
+            yield pa.RecordBatch.from_arrays([pa.array(core_hash(data, place)), pa.array(ids[first:at][doc]), pa.array(own << 16 | least << 8 | most)], names=["core", "uid", "spot"])
+
+
+def _runs(parts: int):
+    """(uid, text, spots) -> (p, run): sorted front-coded runs of the suffixes at the spots, by target partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[dict] = [{} for _ in range(parts)]
+            for uid, text, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                raw = (text.as_py() or "").encode()
+                spot = spots.values.to_numpy()
+                place, least, most = spot >> 16, spot >> 8 & 255, spot & 255
+                where = (core_hash(np.frombuffer(raw, np.uint8), place).view(np.uint64) % np.uint64(parts)).tolist()
+                for p, a, lo, hi in zip(where, place.tolist(), least.tolist(), most.tolist(), strict=True):
+                    found[p].setdefault((raw[a : a - lo + SPAN], raw[a - hi : a][::-1], lo, hi), []).append((uid, a))
+            ps, blobs = [], []
+            for p, own in enumerate(found):
+                if own:
+                    keys = sorted(own)
+                    shared, size, rest = front_code([k[0] for k in keys])
+                    lefts = b"".join(k[1] for k in keys)
+                    owners = np.array([o for k in keys for o in own[k]], np.int64)
+                    head = np.array([len(keys), len(owners), len(rest)], np.int64)
+                    bounds = np.array([[k[2], k[3]] for k in keys], np.uint8)
+                    count = np.array([len(own[k]) for k in keys], np.int32)
+                    ps.append(p)
+                    blobs.append(head.tobytes() + owners.tobytes() + count.tobytes() + shared.tobytes() + size.tobytes() + bounds.tobytes() + rest + lefts)
+            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary())], names=["p", "run"])
+
+    return run
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """One partition's runs -> (uid, start, stop): the bytes that repeated windows cover."""
+    runs, meta = [], []
+    for blob in table.column("run"):
+        raw = blob.as_py()
+        n, m, r = np.frombuffer(raw, np.int64, 3).tolist()
+        at = 24
+        owners = np.frombuffer(raw, np.int64, 2 * m, at).reshape(m, 2)
+        at += 16 * m
+        count = np.frombuffer(raw, np.int32, n, at)
+        at += 4 * n
+        shared, size = np.frombuffer(raw, np.int16, n, at), np.frombuffer(raw, np.int16, n, at + 2 * n)
+        at += 4 * n
+        bounds = np.frombuffer(raw, np.uint8, 2 * n, at).reshape(n, 2)
+        at += 2 * n
+        runs.append(front_decode(shared, size, raw[at : at + r]))
+        lefts = at + r + np.concatenate([[0], np.cumsum(bounds[:, 1].astype(np.int64))])
+        meta.append((raw, lefts.tolist(), bounds, owners, count))
+    order, lcp = [], []
+    for i, _, k in LoserTree(runs):
+        order.append(i)
+        lcp.append(k)
+    n = len(order)
+    run_of = np.array(order, np.int64)
+    # the merge takes each run in order, so an entry's place in its run is a running count
+    inside = np.empty(n, np.int64)
+    for i in range(len(meta)):
+        own = np.flatnonzero(run_of == i)
+        inside[own] = np.arange(len(own))
+    bounds, weight = np.empty((n, 2), np.int64), np.empty(n, np.int64)
+    lefts: list[bytes] = [b""] * n
+    for i, (raw, cut, bound, _, count) in enumerate(meta):
+        own = np.flatnonzero(run_of == i)
+        bounds[own], weight[own] = bound[inside[own]], count[inside[own]]
+        for k, j in zip(own.tolist(), inside[own].tolist(), strict=True):
+            lefts[k] = raw[cut[j] : cut[j + 1]]
+    by_left = sorted(range(n), key=lefts.__getitem__)
+    rank = np.empty(n, np.int64)
+    rank[by_left] = np.arange(n)
+    left_lcp = np.zeros(n, np.int64)
+    for k in range(1, n):
+        left_lcp[k] = common(lefts[by_left[k - 1]], lefts[by_left[k]], 0)
+    uid, start, stop = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    if n:
+        bits = repeated(np.array(lcp, np.int64), rank, left_lcp, bounds[:, 0], bounds[:, 1], weight)
+        edge = np.diff(np.pad(bits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        row, low = np.nonzero(edge == 1)
+        _, high = np.nonzero(edge == -1)
+        for i, (_, _, _, owners, count) in enumerate(meta):
+            own = np.flatnonzero(run_of[row] == i)
+            entry = inside[row[own]]
+            first = np.concatenate([[0], np.cumsum(count)[:-1]])
+            times = count[entry].astype(np.int64)
+            each = np.repeat(first[entry] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(int(times.sum()))
+            uid.append(owners[each, 0])
+            start.append(owners[each, 1] - np.repeat(high[own] - 1, times))
+            stop.append(owners[each, 1] - np.repeat(low[own], times) + SPAN)
+    return pa.table({"uid": np.concatenate(uid), "start": np.concatenate(start), "stop": np.concatenate(stop)})
+
+
+def union(start: np.ndarray, stop: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal runs covered by the intervals; intervals that touch are one run."""
+    out: list[list[int]] = []
+    for i in np.argsort(start, kind="stable").tolist():
+        a, b = int(start[i]), int(stop[i])
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+def dedup(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), kept: bool = False) -> DataFrame:
+    """One row per document: carry columns, n_bytes, n_removed, n_spans, kept_sha256 and, with ``kept``, the remaining bytes.
+
+    Removes every byte covered by a 200-byte string (UTF-8) that also starts elsewhere in any row, the same
+    row and rows that repeat an identifier included; strings are judged on the input.  Null texts are empty.
+    Texts under 200 bytes stay whole.  The documents must come from a source that yields the same rows in
+    the same partitions each time it is read, as a Parquet table does.
+    """
+    spark = docs.sparkSession
+    parts = min(max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1 << 12)
+    named = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(carry)], F.col(text).alias("text")).withColumn("uid", F.monotonically_increasing_id())
+    plain = named.select("uid", "text")
+    found = written(plain.mapInArrow(_find, "core long, uid long, spot long"))
+    twice = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
+    spots = written(found.join(twice, "core", "left_semi").groupBy("uid").agg(F.sort_array(F.collect_list("spot")).alias("spots")))
+    released(spark)
+    runs = plain.join(spots.hint("shuffle_hash"), "uid").select("uid", "text", "spots").mapInArrow(_runs(parts), "p int, run binary")
+    covered = written(runs.groupBy("p").applyInArrow(_merge, "uid long, start long, stop long"))
+    released(spark)
+    spans = covered.groupBy("uid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    rows = named.join(spans.hint("shuffle_hash"), "uid", "left").select(*[f"__k{i}" for i in range(len(carry))], "text", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, removed, n_runs, digest, left = [], [], [], [], []
+            for t, spans in zip(batch.column(len(carry)), batch.column(len(carry) + 1), strict=True):
+                raw = (t.as_py() or "").encode()
+                found = []
+                if spans.is_valid:
+                    start, stop = spans.values.flatten()
+                    found = union(start.to_numpy(), stop.to_numpy())
+                pieces, at = [], 0
+                for a, b in found:
+                    pieces.append(raw[at:a])
+                    at = b
+                rest = b"".join([*pieces, raw[at:]])
+                total.append(len(raw))
+                removed.append(len(raw) - len(rest))
+                n_runs.append(len(found))
+                digest.append(hashlib.sha256(rest).hexdigest())
+                left.append(rest)
+            cols = [batch.column(i) for i in range(len(carry))] + [pa.array(x, pa.int64()) for x in (total, removed, n_runs)] + [pa.array(digest, pa.string())]
+            yield pa.RecordBatch.from_arrays(cols + [pa.array(left, pa.binary())] * kept, names=[*carry, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * kept])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    return rows.mapInArrow(cut, kinds + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * kept)
