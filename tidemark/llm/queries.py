@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, flac, mixing, neardup, pii, quality, suffix
+from . import bpe, chat, flac, html, mixing, neardup, pii, quality, suffix
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(turns, chat.consecutive_pairs(turns))
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_counts(table(spark, sf_dir, "documents"))
 
@@ -45,5 +49,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_preference_pairs, op5_token_counts, op6_personal_data, op7_source_mixing, op8_jaccard_join, op9_flac, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_preference_pairs, op4_main_text, op5_token_counts, op6_personal_data, op7_source_mixing, op8_jaccard_join, op9_flac, op10_bpe)}
 ORACLES: dict[str, str] = {"op3_preference_pairs": chat.ORACLE}
