@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -226,12 +227,15 @@ def repeated(right_lcp: np.ndarray, left_rank: np.ndarray, left_lcp: np.ndarray,
     return out
 
 
+#: A core with more anchors than this is dealt by longer strings; windows start at most HALF before their
+#: anchor in the one kind of share, and more in the other.
+HOT, HALF = 2000, ROOM // 2
 #: Bytes of text handled together.
 CHUNK = 1 << 20
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid, text) -> (core, uid, spot): spot packs the anchor's place and its least and greatest p."""
+    """(uid, text) -> (core, uid, spot): spot packs the anchor's place, a bit for hot cores, and its least and greatest p."""
     for batch in batches:
         ids, texts = batch.column(0).to_numpy(), batch.column(1)
         at = 0
@@ -246,7 +250,12 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place, least, most = anchors(data, ends)
             doc = np.searchsorted(ends, place, "right")
             own = place - np.concatenate([[0], ends])[doc]
-            yield pa.RecordBatch.from_arrays([pa.array(core_hash(data, place)), pa.array(ids[first:at][doc]), pa.array(own << 16 | least << 8 | most)], names=["core", "uid", "spot"])
+            yield pa.RecordBatch.from_arrays([pa.array(core_hash(data, place)), pa.array(ids[first:at][doc]), pa.array(own << 17 | least << 8 | most)], names=["core", "uid", "spot"])
+
+
+def put(into: dict, uid: int, raw: bytes, a: int, lo: int, hi: int) -> None:
+    """Note the owner of the suffix at ``a``, under its right part, reversed left part and bounds."""
+    into.setdefault((raw[a : a - lo + SPAN], raw[a - hi : a][::-1], lo, hi), []).append((uid, a))
 
 
 def _runs(parts: int):
@@ -258,10 +267,18 @@ def _runs(parts: int):
             for uid, text, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = (text.as_py() or "").encode()
                 spot = spots.values.to_numpy()
-                place, least, most = spot >> 16, spot >> 8 & 255, spot & 255
-                where = (core_hash(np.frombuffer(raw, np.uint8), place).view(np.uint64) % np.uint64(parts)).tolist()
-                for p, a, lo, hi in zip(where, place.tolist(), least.tolist(), most.tolist(), strict=True):
-                    found[p].setdefault((raw[a : a - lo + SPAN], raw[a - hi : a][::-1], lo, hi), []).append((uid, a))
+                place, hot, least, most = spot >> 17, spot >> 16 & 1, spot >> 8 & 255, spot & 255
+                core = core_hash(np.frombuffer(raw, np.uint8), place)
+                where = (core.view(np.uint64) % np.uint64(parts)).tolist()
+                for p, a, h, lo, hi in zip(where, place.tolist(), hot.tolist(), least.tolist(), most.tolist(), strict=True):
+                    if not h:
+                        put(found[p], uid, raw, a, lo, hi)
+                        continue
+                    # a hot core is dealt by more of what its windows share: the bytes after it, or those before it
+                    if lo <= HALF:
+                        put(found[xxhash.xxh3_64_intdigest(raw[a : a + SPAN - HALF]) % parts], uid, raw, a, lo, min(hi, HALF))
+                    if hi > HALF:
+                        put(found[xxhash.xxh3_64_intdigest(raw[a - HALF - 1 : a + CORE]) % parts], uid, raw, a, max(lo, HALF + 1), hi)
             ps, blobs = [], []
             for p, own in enumerate(found):
                 if own:
@@ -323,8 +340,9 @@ def _merge(table: pa.Table) -> pa.Table:
         left_lcp[k] = common(lefts[by_left[k - 1]], lefts[by_left[k]], 0)
     uid, start, stop = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     if n:
-        bits = repeated(np.array(lcp, np.int64), rank, left_lcp, bounds[:, 0], bounds[:, 1], weight)
-        edge = np.diff(np.pad(bits, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+        bits = np.zeros((n, ROOM + 3), np.int8)
+        bits[:, 1:-1] = repeated(np.array(lcp, np.int64), rank, left_lcp, bounds[:, 0], bounds[:, 1], weight)
+        edge = np.diff(bits, axis=1)
         row, low = np.nonzero(edge == 1)
         _, high = np.nonzero(edge == -1)
         for i, (_, _, _, owners, count) in enumerate(meta):
@@ -364,8 +382,9 @@ def dedup(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id
     named = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(carry)], F.col(text).alias("text")).withColumn("uid", F.monotonically_increasing_id())
     plain = named.select("uid", "text")
     found = written(plain.mapInArrow(_find, "core long, uid long, spot long"))
-    twice = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("core")
-    spots = written(found.join(twice, "core", "left_semi").groupBy("uid").agg(F.sort_array(F.collect_list("spot")).alias("spots")))
+    twice = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hot = F.when(F.col("n") > HOT, F.col("spot").bitwiseOR(1 << 16)).otherwise(F.col("spot"))
+    spots = written(found.join(twice, "core").groupBy("uid").agg(F.sort_array(F.collect_list(hot)).alias("spots")))
     released(spark)
     runs = plain.join(spots.hint("shuffle_hash"), "uid").select("uid", "text", "spots").mapInArrow(_runs(parts), "p int, run binary")
     covered = written(runs.groupBy("p").applyInArrow(_merge, "uid long, start long, stop long"))
