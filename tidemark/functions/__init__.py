@@ -1 +1,98 @@
-"""Subpackage of tidemark."""
+"""Column functions: identities, paths, metadata documents, display forms."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Domain separation of handles; our own constant.
+HANDLE_KEY = "tidemark/handle/1:"
+
+
+def content_hash(payload: Column) -> Column:
+    return F.sha2(payload, 256)
+
+
+def handle(content: Column, nonce: Column | None = None) -> Column:
+    """``sha256-<hex>``: equal content gives equal handles unless a nonce sets them apart."""
+    parts = [F.lit(HANDLE_KEY), content] + ([nonce] if nonce is not None else [])
+    return F.concat(F.lit("sha256-"), F.sha2(F.concat(*parts), 256))
+
+
+def hash_part(ident: Column) -> Column:
+    """What follows the first dash of an identifier; the whole of it without one."""
+    return F.regexp_replace(ident, "^[^-]*-", "")
+
+
+def crypto_identity(pipeline: Column) -> Column:
+    """The last cipher stage as ``algorithm/key``, '' for plain payloads."""
+    ciphers = F.filter(pipeline, lambda s: F.lower(s["algorithm"]).isin("aes-gcm", "chacha20-poly1305"))
+    return F.coalesce(F.concat(F.lower(F.try_element_at(ciphers, F.lit(-1))["algorithm"]), F.lit("/"), F.try_element_at(ciphers, F.lit(-1))["key_id"]), F.lit(""))
+
+
+def shard(ident: Column) -> Column:
+    """``aa/bb/id`` by the first hex digits, ``_short/id`` if there are fewer than four."""
+    h = hash_part(ident)
+    return F.when(F.length(h) < 4, F.concat(F.lit("_short/"), ident)).otherwise(F.concat_ws("/", F.substring(h, 1, 2), F.substring(h, 3, 2), ident))
+
+
+def ref_shaped(ref: Column) -> Column:
+    return ref.rlike("^[0-9a-f]{4,}$")
+
+
+def blob_path(ref: Column, root: str = "blobs", sharded: bool = True) -> Column:
+    return F.concat_ws("/", F.lit(root), *([F.substring(ref, 1, 2), F.substring(ref, 3, 2)] if sharded else []), ref)
+
+
+def path_ref(path: Column) -> Column:
+    """The reference a path ends in, null when it is not shaped like one."""
+    last = F.substring_index(path, "/", -1)
+    return F.when(ref_shaped(last), last)
+
+
+def valid_path(path: Column) -> Column:
+    return (path != "") & (F.instr(path, "\0") == 0) & F.forall(F.split(path, "/"), lambda s: ~s.isin("", ".", ".."))
+
+
+def is_under(path: Column, prefix: str) -> Column:
+    """The prefix itself or below it; '' holds everything."""
+    return F.lit(True) if prefix == "" else (path == prefix) | path.startswith(prefix + "/")
+
+
+def parent(path: Column) -> Column:
+    return F.when(F.instr(path, "/") == 0, F.lit("")).otherwise(F.regexp_replace(path, "/[^/]*$", ""))
+
+
+def last_segment(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
+
+
+def vfs_status(ext: Column) -> Column:
+    """absent / ok / error for the path document inside ext: not an object or another version is absent, a bad path is an error."""
+    doc = F.get_json_object(ext, "$.vfsmeta")
+    version, path = F.get_json_object(ext, "$.vfsmeta.version"), F.get_json_object(ext, "$.vfsmeta.path")
+    return F.when(doc.isNull() | F.coalesce(version != "1", F.lit(True)), "absent").when(F.coalesce(valid_path(path), F.lit(False)), "ok").otherwise("error")
+
+
+def vfs_path(ext: Column) -> Column:
+    return F.when(vfs_status(ext) == "ok", F.get_json_object(ext, "$.vfsmeta.path"))
+
+
+def rfc3339(seconds: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def date_path(seconds: Column, label: Column) -> Column:
+    return F.concat(F.date_format(F.timestamp_seconds(seconds), "yyyy/MM/dd/HH-mm-ss-"), label)
+
+
+def human_bytes(n: Column) -> Column:
+    """Bytes with one decimal in KiB, MiB, GiB, plain below 1024."""
+    out = F.concat(n.cast("string"), F.lit(" B"))
+    for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB")):
+        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", n / F.lit(float(1024**power))), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def ratio(a: Column, b: Column) -> Column:
+    return F.when(b > 0, F.format_string("%.2fx", a / b)).otherwise("")

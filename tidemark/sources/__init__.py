@@ -1 +1,102 @@
-"""Subpackage of tidemark."""
+"""The catalog's tables: derived from payload rows and an append-only log, written and restored as Parquet."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import Window
+
+from tidemark.functions import content_hash, handle
+
+#: First second of the derived clock, days in seconds, inline limit in bytes.
+EPOCH, DAY, INLINE = 1704067200, 86400, 4096
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def puts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One artifact a document, with every derived column of its manifest; no text beyond what is hashed."""
+    d = F.col("doc_id")
+    path = F.when(d % 13 == 0, F.lit("/abs")).otherwise(F.concat_ws("/", "lang", "source", F.concat((d % 37).cast("string"), F.lit(".txt"))))
+    vfs = F.when(d % 11 == 0, F.lit("")).otherwise(F.concat(F.lit('"vfsmeta":{"version":1,"path":"'), path, F.lit('"},')))
+    cd = content_hash(F.col("text"))
+    size = F.octet_length("text").cast("long")
+    return table(spark, sf_dir, "documents").select(
+        d, F.col("lang"), F.col("source").alias("session_id"), cd.alias("content_hash"), size.alias("original_size"), handle(cd).alias("artifact_id"),
+        F.sha2(F.concat(F.lit("manifest:"), d.cast("string"), F.lit(":"), cd), 256).alias("manifest_digest"),
+        F.when(size > INLINE, cd).alias("blob_ref"), (EPOCH + d).alias("created_at"), (d + 1).alias("csn"),
+        F.concat(F.lit("{"), vfs, F.lit('"nsid":"'), F.col("lang"), F.lit('"}')).alias("ext"),
+        F.when(d % 3 != 0, EPOCH + d + (d % 40) * DAY).alias("last_verified_at"), F.when(d % 5 != 0, EPOCH + d + (d % 50) * DAY).alias("retention_until"),
+    )
+
+
+def deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deleted documents: error events name them by number. The delete's csn follows all puts of the log."""
+    e = table(spark, sf_dir, "events").where("event_type = 'error'")
+    return e.select(F.col("event_id").alias("doc_id"), (F.col("event_id") + 1_000_000_000).alias("delete_csn"))
+
+
+@dataclass(frozen=True)
+class Catalog:
+    """Manifests are live puts; blobs keep every blob ever put (a blob without live edges is an orphan)."""
+
+    puts: DataFrame
+    manifests: DataFrame
+    edges: DataFrame
+    blobs: DataFrame
+    gone: DataFrame
+
+
+def edges_of(manifests: DataFrame) -> DataFrame:
+    """One row for each blob a manifest lists; every 17th document lists its blob twice."""
+    refs = F.when(F.col("blob_ref").isNull(), F.array().cast("array<string>")).when(F.col("doc_id") % 17 == 0, F.array("blob_ref", "blob_ref")).otherwise(F.array("blob_ref"))
+    return manifests.select("manifest_digest", F.posexplode(refs).alias("position", "blob_ref"))
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    p = puts(spark, sf_dir)
+    gone = p.join(deletes(spark, sf_dir), "doc_id").select("doc_id", "manifest_digest", "delete_csn")
+    live = p.join(gone.select("doc_id"), "doc_id", "left_anti")
+    first = p.where("blob_ref IS NOT NULL").groupBy("blob_ref").agg(F.min("csn").alias("csn"), F.first("original_size").alias("original_size"), F.max("last_verified_at").alias("last_verified_at"))
+    counts = edges_of(live).groupBy("blob_ref").agg(F.count(F.lit(1)).alias("refs"))
+    blobs = first.join(counts, "blob_ref", "left").select("blob_ref", F.col("blob_ref").alias("content_hash"), "original_size", F.lit("").alias("crypto_identity"), F.coalesce("refs", F.lit(0)).alias("ref_count"), "last_verified_at", F.col("csn").alias("first_csn"))
+    return Catalog(p, live, edges_of(live), blobs, gone)
+
+
+def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versioned names: each user's events in order are the versions of one name."""
+    e = table(spark, sf_dir, "events")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    return e.select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("name"), seq.cast("long").alias("seq"), "event_id", "event_type")
+
+
+def save_checkpoint(tables: dict[str, DataFrame], path: str) -> None:
+    """Every table as Parquet; refuses a destination that exists."""
+    for name, df in tables.items():
+        df.write.mode("errorifexists").parquet(f"{path}/{name}")
+
+
+def restore(spark: SparkSession, path: str, current: DataFrame, name: str, key: list[str]) -> DataFrame:
+    """Upsert of a checkpointed table into the current rows: the checkpoint's row wins for each key."""
+    saved = spark.read.parquet(f"{path}/{name}")
+    return upsert(current, saved, key)
+
+
+def upsert(current: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
+    kept = current.join(incoming.select(*key).distinct(), key, "left_anti")
+    return kept.unionByName(incoming)
+
+
+def listing(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """Files below a folder (path, length, modification time), with ``since`` (UTC) inclusive."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length", "modificationTime")
+    return df.where(F.col("modificationTime") >= F.to_timestamp(F.lit(since))) if since else df
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)
