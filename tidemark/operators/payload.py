@@ -10,18 +10,19 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 SEGMENT = 65536
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def compress(payload: pd.Series) -> pd.Series:
     import zstandard
 
     return payload.map(lambda b: None if b is None else zstandard.ZstdCompressor(level=3).compress(b))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def decompress(payload: pd.Series) -> pd.Series:
     import zstandard
 
@@ -31,7 +32,7 @@ def decompress(payload: pd.Series) -> pd.Series:
 def convergent_iv(key: bytes, key_id: str):
     """A UDF (payload hash hex, segment index) -> 12-byte IV: equal plaintexts seal to equal bytes."""
 
-    @F.pandas_udf("binary")
+    @F.pandas_udf(BinaryType())
     def iv(digest: pd.Series, index: pd.Series) -> pd.Series:
         return pd.Series([hmac.new(key, bytes.fromhex(d) + key_id.encode() + struct.pack(">Q", int(i)), hashlib.sha256).digest()[:12] for d, i in zip(digest, index, strict=True)])
 

@@ -24,11 +24,10 @@ def placed(manifests: DataFrame) -> DataFrame:
     return rows.select("at.root", "at.path", "artifact_id", "manifest_digest", "created_at", "original_size")
 
 
-RANK = Window.partitionBy("root", "path").orderBy(F.desc("created_at"), F.desc("artifact_id"), F.desc("manifest_digest"))
-
-
 def ranked(places: DataFrame) -> DataFrame:
-    return places.withColumn("rn", F.row_number().over(RANK))
+    """Claims of every path in the order of election: rn 1 wins, the rest are the queue behind it."""
+    rank = Window.partitionBy("root", "path").orderBy(F.desc("created_at"), F.desc("artifact_id"), F.desc("manifest_digest"))
+    return places.withColumn("rn", F.row_number().over(rank))
 
 
 def winners(places: DataFrame) -> DataFrame:

@@ -1 +1,39 @@
-"""Subpackage of tidemark."""
+"""Streams: the operation log as a feed, converging a view, and every-N counters."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+
+def feed(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """New files of an append-only log, as a stream."""
+    return spark.readStream.schema(schema).parquet(path)
+
+
+def fire_every(stream: DataFrame, n: int) -> DataFrame:
+    """(event_type, firings) of each batch: a counter for each type that fires at n and starts over."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count = (state.get[0] if state.exists else 0) + sum(len(f) for f in frames)
+        state.update((count % n,))
+        if count >= n:
+            yield pd.DataFrame({"event_type": [key[0]], "firings": [count // n]})
+
+    return stream.groupBy("event_type").applyInPandasWithState(step, "event_type string, firings long", "count long", "append", GroupStateTimeout.NoTimeout)
+
+
+def converge(stream: DataFrame, apply, rebuild, checkpoint: str) -> StreamingQuery:
+    """Keep a view current: batches of puts are applied, a batch with a delete rebuilds the view whole."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        if rows.where("op = 'delete'").isEmpty():
+            apply(rows, number)
+        else:
+            rebuild(number)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
