@@ -38,8 +38,9 @@ def weights(sizes: DataFrame, entropy: float = ENTROPY, repeat: float = REPEAT)
     and at most ``repeat``.  Sources without tokens keep weight 0 and one pass.  One source alone has
     exponent 1.  The bisection works on one row holding an array of the shares (a number for each source).
     """
-    live = sizes.where("tokens > 0")
-    one = live.agg(F.sort_array(F.collect_list(F.col("tokens").cast("double"))).alias("t")).withColumn("k", F.size("t"))
+    row = F.struct(F.col("tokens").cast("double").alias("t"), "source", "tokens", "docs")
+    one = sizes.agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    one = one.withColumn("t", F.transform(F.filter("rows", lambda r: r["tokens"] > 0), lambda r: r["t"])).withColumn("k", F.size("t"))
     one = one.withColumn("p", F.expr("transform(t, x -> x / aggregate(t, 0D, (a, y) -> a + y))"))
     h = "aggregate(transform({p}, x -> power(x, {a})), struct(0D AS z, 0D AS s), (c, w) -> struct(c.z + w AS z, c.s + w * ln(w) AS s), c -> ln(c.z) - c.s / c.z)"
     # entropy falls and repetition falls as the exponent grows: both limits are monotone
@@ -48,10 +49,10 @@ def weights(sizes: DataFrame, entropy: float = ENTROPY, repeat: float = REPEAT)
     reaches = h.format(p="p", a="(b.lo + b.hi) / 2") + " >= " + goal
     one = one.withColumn("by_entropy", F.expr("CASE WHEN " + h.format(p="p", a="1D") + f" >= {goal} THEN 1D ELSE " + bisect.format(n=HALVINGS, test=reaches, end="b.lo") + " END"))
     # the least repeated source is the largest: (p_small / p_large) ** (a - 1) must not pass the limit
-    over = f"power(p[0] / p[k - 1], (b.lo + b.hi) / 2 - 1) > {repeat!r}D"
+    over = f"k > 0 AND power(p[0] / p[k - 1], (b.lo + b.hi) / 2 - 1) > {repeat!r}D"
     one = one.withColumn("by_repeat", F.expr(bisect.format(n=HALVINGS, test=over, end="b.hi")))
-    one = one.select(F.greatest("by_entropy", "by_repeat").alias("exponent"), F.expr("t[k - 1]").alias("most"), F.expr("aggregate(p, 0D, (c, x) -> c + power(x, greatest(by_entropy, by_repeat)))").alias("z"), F.expr("aggregate(t, 0D, (a, y) -> a + y)").alias("all"))
-    df = sizes.withColumn("__one", F.lit(1)).join(one.withColumn("__one", F.lit(1)), "__one", "left").drop("__one")
+    one = one.select("rows", F.greatest("by_entropy", "by_repeat").alias("exponent"), F.expr("t[k - 1]").alias("most"), F.expr("aggregate(p, 0D, (c, x) -> c + power(x, greatest(by_entropy, by_repeat)))").alias("z"), F.expr("aggregate(t, 0D, (a, y) -> a + y)").alias("all"))
+    df = one.select(F.explode("rows").alias("r"), "exponent", "most", "z", "all").select("r.source", "r.tokens", "r.docs", "exponent", "most", "z", "all")
     alive = F.col("tokens") > 0
     return df.select(
         "source", "tokens", "docs", "exponent",
@@ -105,11 +106,11 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
     """
     rows = written(_sized(docs, text, source).select(F.col(ident).alias("__id"), "__source", "__tokens"))
     sizes = rows.groupBy(F.col("__source").alias("source")).agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    w = written(weights(sizes, entropy, repeat)).select(F.col("source").alias("__source"), "tokens", "docs", "epochs").withColumn("__last", F.ceil("epochs").cast("long") - 1)
+    w = written(weights(sizes, entropy, repeat)).select(F.col("source").alias("__source"), F.col("tokens").alias("__all"), F.col("docs").alias("__docs"), F.col("epochs").alias("__epochs")).withColumn("__last", F.ceil("__epochs").cast("long") - 1)
     place = f"CAST({_place('__last', "coalesce(CAST(__id AS string), '')")} AS long)"
-    bucket = f"CAST(__u * (1 + docs div {BUCKET}) div 2147483648 AS long)"
+    bucket = f"CAST(__u * (1 + __docs div {BUCKET}) div 2147483648 AS long)"
     df = rows.where("__tokens > 0").join(w.where("__last > 0"), "__source").withColumn("__u", F.expr(place)).withColumn("__bucket", F.expr(bucket))
-    rest = F.floor(F.col("epochs") * F.col("tokens") + 0.5).cast("long") - F.col("__last") * F.col("tokens")
+    rest = F.floor(F.col("__epochs") * F.col("__all") + 0.5).cast("long") - F.col("__last") * F.col("__all")
     sums = df.groupBy("__source", "__bucket").agg(F.sum("__tokens").alias("__t"), F.first(rest).alias("__rest"))
     edge = sums.withColumn("__before", F.sum("__t").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("__t")).where("__before < __rest AND __before + __t >= __rest")
     inside = Window.partitionBy("__source", "__bucket").orderBy("__u", "__id", "__tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow)

@@ -217,7 +217,9 @@ def _meet(table: pa.Table) -> pa.Table:
     order = np.argsort(key, kind="stable")
     key, entry = key[order], entry[order]
     same = key[1:] == key[:-1]
-    multi = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    multi = np.zeros(len(key), bool)
+    multi[1:] |= same
+    multi[:-1] |= same
     key, entry = key[multi], entry[multi]
     who = head[0][entry]
     order = np.lexsort((who, key))
@@ -392,3 +394,15 @@ def keep_one(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> Data
     found = near_duplicates(docs, text, ident)
     gone = written(found.where(~F.col(ident).eqNullSafe(F.col("component_id"))).select(F.col(ident).alias("__gone")).distinct())
     return docs.join(gone, F.col(ident).eqNullSafe(F.col("__gone")), "left_anti")
+
+
+#: The same result by plain joins on shingles.
+ORACLE = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, CAST(len(w) - 3 AS BIGINT)), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words),
+n AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, y FROM reach JOIN links ON reach.r = x)
+SELECT words.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.low, words.doc_id) AS component_id FROM words LEFT JOIN n ON n.doc_id = words.doc_id LEFT JOIN (SELECT doc_id, min(r) AS low FROM reach GROUP BY 1) c ON c.doc_id = words.doc_id
+"""

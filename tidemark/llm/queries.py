@@ -50,4 +50,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_preference_pairs, op4_main_text, op5_token_counts, op6_personal_data, op7_source_mixing, op8_jaccard_join, op9_flac, op10_bpe)}
-ORACLES: dict[str, str] = {"op3_preference_pairs": chat.ORACLE}
+ORACLES: dict[str, str] = {"op3_preference_pairs": chat.ORACLE, "op8_jaccard_join": neardup.ORACLE}
