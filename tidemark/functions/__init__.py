@@ -90,7 +90,7 @@ def human_bytes(n: Column) -> Column:
     """Bytes with one decimal in KiB, MiB, GiB, plain below 1024."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for power, unit in ((1, "KiB"), (2, "MiB"), (3, "GiB")):
-        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", n / F.lit(float(1024**power))), F.lit(f" {unit}"))).otherwise(out)
+        out = F.when(n >= 1024**power, F.concat(F.format_string("%.1f", F.bround(n / F.lit(float(1024**power)), 1)), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
