@@ -194,6 +194,16 @@ def test_personal_data_base_and_disguises(docs):
         assert pii.mask(text) == want
 
 
+def test_personal_data_scans_long_texts_once():
+    import time
+
+    began = time.time()
+    assert pii.spans("dot @ " + " " * 60000 + "x")[1] == [[], [], [], []]
+    base, more = pii.spans("a@b.co and a at b dot co, " * 4000)
+    assert (len(base[0]), len(more[0])) == (4000, 4000) and more[0][0] == (11, 24)
+    assert time.time() - began < 10
+
+
 def test_mixing_covers_all_and_keeps_limits(docs):
     plan = mixing.plan(docs).collect()
     times = collections.Counter(r.doc_id for r in plan)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,12 +42,14 @@ FOREIGN = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + COM
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 NUMBER = "|".join(SPELLED)
 #: At least four spelled digits among digits, separators and written dots.
-SPELLED_RUN = re.compile(rf"(?<![a-z])(?:plus[\s-]+|\+\s?)?(?:(?:{NUMBER})(?![a-z])|[0-9]+)(?:(?:[\s,-]+|\s+(?:dot|point)\s+|\s?\.\s?)(?:(?:{NUMBER})(?![a-z])|[0-9]+))+")
+SPELLED_RUN = re.compile(rf"(?<![a-z])(?:(?<![0-9])|(?<=[a-z][0-9]))(?:plus[\s-]+|\+\s?)?(?:(?:{NUMBER})(?![a-z])|[0-9]+)(?:(?:[\s,-]+|\s+(?:dot|point)\s+|\s?\.\s?)(?:(?:{NUMBER})(?![a-z])|[0-9]+))+")
 TOKEN = re.compile(rf"(?P<num>(?:{NUMBER})(?![a-z]))|(?P<dot>\s*(?:\bdot\b|\bpoint\b|\.)\s*)|(?P<plus>plus[\s-]+|\+\s?)|(?P<dig>[0-9]+)|(?P<sep>[\s,-]+)")
 FEWEST = 4
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
-AT = re.compile(rf"\s*{OPEN}\s*(?:at|@|arroba)\s*{CLOSE}\s*|\s+(?:at|arroba)\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*{OPEN}\s*(?:dot|\.)\s*{CLOSE}\s*|\.)[a-z0-9])|\s+@\s+(?=[a-z0-9])")
-DOT = re.compile(rf"\s*{OPEN}\s*(?:dot|\.|punkt|punto)\s*{CLOSE}\s*|\s+(?:dot|punkt|punto)\s+(?=[a-z0-9])")
+#: White space taken from its start only, so a long run of it is scanned once.
+GAP = r"(?<!\s)\s++"
+AT = re.compile(rf"(?:{GAP})?{OPEN}\s*(?:at|@|arroba)\s*{CLOSE}\s*|{GAP}(?:at|arroba)\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*{OPEN}\s*(?:dot|\.)\s*{CLOSE}\s*|\.)[a-z0-9])|{GAP}@\s+(?=[a-z0-9])")
+DOT = re.compile(rf"(?:{GAP})?{OPEN}\s*(?:dot|\.|punkt|punto)\s*{CLOSE}\s*|{GAP}(?:dot|punkt|punto)\s+(?=[a-z0-9])")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -183,9 +185,15 @@ def spans(text: str) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int,
     """(base spans, spans the method adds) of each kind."""
     base, more = detect(text), disguised(text)
     out: list[list[tuple[int, int]]] = []
-    taken = sorted(x for kind in base for x in kind)
+    taken: list[list[int]] = []  # base spans of all kinds, joined where they overlap
+    for s, e in sorted(x for kind in base for x in kind):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    starts = [s for s, _ in taken]
     for kind in more:
-        out.append([(s, e) for s, e in sorted(set(kind)) if not any(a < e and s < b for a, b in taken)])
+        out.append([(s, e) for s, e in sorted(set(kind)) if not ((i := bisect_left(starts, e)) and taken[i - 1][1] > s)])
     return base, out
 
 
