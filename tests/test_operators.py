@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import functions as fn
 from tidemark.operators import payload, views
+from tidemark.operators.catalog import every_nth
 from tidemark.sources import listing, restore, save_checkpoint
 from tidemark.streaming import fire_every
 
@@ -61,3 +62,13 @@ def test_counter_stream_fires_every_n(spark, tmp_path):
     q = fire_every(stream, 3).writeStream.format("memory").queryName("fired").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.event_type, r.firings) for r in spark.table("fired").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_every_nth_over_many_ranges(spark):
+    events = spark.createDataFrame([("a" if i % 3 else "b", i * 7) for i in range(500)], "event_type string, event_id long")
+    got = sorted(map(tuple, every_nth(events, 10, span=64).collect()))
+    want = []
+    for t in "ab":
+        own = sorted(i * 7 for i in range(500) if ("a" if i % 3 else "b") == t)
+        want += [(t, e, (k + 1) // 10) for k, e in enumerate(own) if (k + 1) % 10 == 0]
+    assert got == sorted(want)

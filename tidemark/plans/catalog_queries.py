@@ -10,7 +10,8 @@ from pyspark.sql import Window
 
 from tidemark import functions as fn
 from tidemark.operators import catalog as op
-from tidemark.operators import payload, views
+from tidemark.functions import preview
+from tidemark.operators import kv, payload, views, writes
 from tidemark.sources import DAY, EPOCH, catalog, puts, table, upsert, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,7 +127,7 @@ simple("gc_stats", lambda c: op.gc_plan(c, tombstones(c), NOW, 7 * DAY).groupBy(
 simple("rollback_plan", lambda c: op.rollback_plan(c.manifests, NOW), f"SELECT session_id, count(*) AS artifacts, CAST(sum(CASE WHEN retention_until > {NOW} THEN 1 ELSE 0 END) AS BIGINT) AS held, CASE WHEN sum(CASE WHEN retention_until > {NOW} THEN 1 ELSE 0 END) > 0 THEN 0 ELSE count(*) END AS deletes FROM m GROUP BY 1")
 simple("change_token", op.token, "SELECT greatest((SELECT max(csn) FROM p), (SELECT max(delete_csn) FROM gone)) AS token")
 simple("since_delta", lambda c: op.since(c, 500), "SELECT manifest_digest, csn, (SELECT max(csn) FROM m WHERE csn > 500) AS next, 500 < (SELECT max(delete_csn) FROM gone) AS gapped FROM m WHERE csn > 500")
-simple("upsert_restore", lambda c: upsert(c.manifests.select("manifest_digest", "csn", F.lit("current").alias("origin")), c.puts.where("doc_id % 4 = 0").select("manifest_digest", "csn", F.lit("saved").alias("origin")), ["manifest_digest"]), "SELECT manifest_digest, csn, 'saved' AS origin FROM p WHERE doc_id % 4 = 0 UNION ALL SELECT manifest_digest, csn, 'current' FROM m WHERE doc_id % 4 <> 0")
+simple("upsert_restore", lambda c: upsert(c.manifests.select("manifest_digest", "csn", F.lit("current").alias("origin")), c.puts.where("lang = 'de'").select("manifest_digest", "csn", F.lit("saved").alias("origin")), ["manifest_digest"]), "SELECT manifest_digest, csn, 'saved' AS origin FROM p WHERE lang = 'de' UNION ALL SELECT manifest_digest, csn, 'current' FROM m WHERE lang <> 'de'")
 simple("inline_decision", lambda c: c.puts.select("doc_id", F.when(F.col("original_size") <= 4096, "inline").otherwise("target").alias("layout")), "SELECT doc_id, CASE WHEN original_size <= 4096 THEN 'inline' ELSE 'target' END AS layout FROM p")
 simple("presented_sizes", lambda c: c.manifests.select("doc_id", fn.human_bytes(F.col("original_size")).alias("size"), fn.rfc3339(F.col("created_at")).alias("created")), "SELECT doc_id, CASE WHEN original_size >= 1073741824 THEN printf('%.1f GiB', original_size / 1073741824.0) WHEN original_size >= 1048576 THEN printf('%.1f MiB', original_size / 1048576.0) WHEN original_size >= 1024 THEN printf('%.1f KiB', original_size / 1024.0) ELSE original_size || ' B' END AS size, strftime(make_timestamp(created_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created FROM m")
 
@@ -137,11 +138,11 @@ def usr_query(spark, sf_dir):
     return op.usr_query(op.usr_rows(c.manifests, table(spark, sf_dir, "labels")), "quality", "1").select("artifact_id", "manifest_digest")
 
 
-@query("SELECT 'ok' AS state, count(*) AS blobs FROM blobs WHERE blob_ref NOT IN (SELECT content_hash FROM p WHERE doc_id % 9 = 0) UNION ALL SELECT 'missing', count(*) FROM blobs WHERE blob_ref IN (SELECT content_hash FROM p WHERE doc_id % 9 = 0)")
+@query("SELECT 'ok' AS state, count(*) AS blobs FROM blobs WHERE blob_ref NOT IN (SELECT content_hash FROM p WHERE lang = 'fr') UNION ALL SELECT 'missing', count(*) FROM blobs WHERE blob_ref IN (SELECT content_hash FROM p WHERE lang = 'fr')")
 def scrub_report(spark, sf_dir):
     c = catalog(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("blob_ref"), F.encode("text", "utf-8").alias("payload"))
-    lost = docs.where("doc_id % 9 = 0").select("blob_ref").distinct()
+    docs = table(spark, sf_dir, "documents").select("lang", F.sha2("text", 256).alias("blob_ref"), F.encode("text", "utf-8").alias("payload"))
+    lost = docs.where("lang = 'fr'").select("blob_ref").distinct()
     kept = docs.join(lost, "blob_ref", "left_anti").dropDuplicates(["blob_ref"])
     return op.scrub(c, kept).groupBy("state").agg(F.count(F.lit(1)).alias("blobs"))
 
@@ -220,3 +221,60 @@ def handle_edges(spark, sf_dir):
         one = a.join(b.select(y), F.col(x) == F.col(y), "left_semi").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("edge"), "n")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def index_rows(c) -> DataFrame:
+    """The path index as key-value rows."""
+    return c.manifests.withColumn("path", fn.vfs_path(F.col("ext"))).where("path IS NOT NULL").select(F.lit("paths").alias("table_name"), F.concat_ws("#", "path", "manifest_digest").alias("key"), F.col("artifact_id").alias("value"))
+
+
+simple("kv_prefix_scan", lambda c: kv.prefix_scan(index_rows(c), "paths", "en/").select("key", "value"), "SELECT vfs || '#' || manifest_digest AS key, artifact_id AS value FROM m WHERE starts_with(vfs, 'en/')")
+simple("kv_range_scan", lambda c: kv.range_scan(index_rows(c), "paths", "de/src1", "es/").select("key", "value"), "SELECT vfs || '#' || manifest_digest AS key, artifact_id AS value FROM m WHERE vfs || '#' || manifest_digest >= 'de/src1' AND vfs || '#' || manifest_digest < 'es/'")
+simple("media_types", lambda c: c.manifests.select("doc_id", preview.media_type(F.coalesce(fn.vfs_path(F.col("ext")), F.lit("")), F.when(F.col("lang") == "es", "application/x-own")).alias("type")), "SELECT doc_id, CASE WHEN lang = 'es' THEN 'application/x-own' WHEN vfs IS NULL THEN '' ELSE 'text/plain; charset=utf-8' END AS type FROM m")
+simple("encoded_names", lambda c: c.manifests.select("doc_id", preview.encoded_name(F.concat_ws("/", "session_id", "artifact_id")).alias("name"), preview.uptime(F.col("created_at") - EPOCH).alias("age")), f"SELECT doc_id, session_id || '_' || artifact_id AS name, CASE WHEN t >= 86400 THEN (t // 86400) || 'd ' || (t // 3600 % 24) || 'h' WHEN t >= 3600 THEN (t // 3600) || 'h ' || (t // 60 % 60) || 'm' WHEN t >= 60 THEN (t // 60) || 'm ' || (t % 60) || 's' ELSE t || 's' END AS age FROM (SELECT *, created_at - {EPOCH} AS t FROM m)")
+
+
+def operations(c) -> DataFrame:
+    """The catalog's history as a log: puts, stamps after them, deletes."""
+    put = c.puts.select("csn", F.lit("put").alias("op"), "manifest_digest", F.lit(None).cast("long").alias("at"))
+    stamp = c.puts.where("last_verified_at IS NOT NULL").select((F.col("csn") + 500_000_000).alias("csn"), F.lit("verify").alias("op"), "manifest_digest", F.col("last_verified_at").alias("at"))
+    gone = c.gone.select(F.col("delete_csn").alias("csn"), F.lit("delete").alias("op"), "manifest_digest", F.lit(None).cast("long").alias("at"))
+    return put.unionByName(stamp).unionByName(gone)
+
+
+simple("log_snapshot", lambda c: writes.snapshot(operations(c)), "SELECT manifest_digest, csn, last_verified_at, (SELECT max(delete_csn) FROM gone) AS prune_csn FROM m")
+simple("write_gate", lambda c: writes.gated(operations(c), ("delete",))[1].select("op", "manifest_digest"), "SELECT 'delete' AS op, manifest_digest FROM p JOIN gone USING (doc_id)")
+
+
+def registry(spark) -> DataFrame:
+    return spark.createDataFrame([("english", "en"), ("french", "fr"), ("german", "de")], "name string, nsid string")
+
+
+@query("SELECT doc_id, CASE WHEN lang IN ('en', 'fr', 'de') THEN lang END AS nsid FROM p")
+def namespace_put(spark, sf_dir):
+    known = F.element_at(F.create_map(F.lit("en"), F.lit("english"), F.lit("fr"), F.lit("french"), F.lit("de"), F.lit("german"), F.lit("es"), F.lit("spanish")), F.col("lang"))
+    taken, rejected = writes.namespaced(puts(spark, sf_dir).select("doc_id", known.alias("namespace")), registry(spark))
+    return taken.select("doc_id", "nsid").unionByName(rejected.select("doc_id", F.lit(None).cast("string").alias("nsid")))
+
+
+@query("SELECT doc_id, original_size AS rejected_size FROM p WHERE original_size > 8192")
+def size_guard(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("payload"))
+    return writes.size_guard(d, 8192)[1].select("doc_id", "rejected_size")
+
+
+@query("SELECT name, CAST(max(seq) + 1 AS BIGINT) AS seq, 'a' AS claimant FROM v GROUP BY 1")
+def claimed_versions(spark, sf_dir):
+    t = versions(spark, sf_dir)
+    due = t.groupBy("name").agg((F.max("seq") + 1).alias("seq"))
+    late = t.select("name", "seq").distinct().withColumn("claimant", F.lit("late"))
+    claims = due.select("name", "seq", F.explode(F.array(F.lit("b"), F.lit("a"))).alias("claimant")).unionByName(late)
+    return writes.claim_versions(t, claims)[0]
+
+
+@query("SELECT blob_ref, 'pack-' || left(blob_ref, 4) AS pack_ref, CAST(coalesce(sum(original_size) OVER (PARTITION BY left(blob_ref, 4) ORDER BY blob_ref ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS offset, original_size AS length FROM blobs")
+def pack_placement(spark, sf_dir):
+    """Blobs laid end to end in packs by their first four digits: up to 65,536 packs, each ordered in its own task."""
+    b = catalog(spark, sf_dir).blobs.select("blob_ref", F.concat(F.lit("pack-"), F.substring("blob_ref", 1, 4)).alias("pack_ref"), F.col("original_size").alias("length"))
+    before = F.sum("length").over(Window.partitionBy("pack_ref").orderBy("blob_ref").rowsBetween(Window.unboundedPreceding, -1))
+    return b.select("blob_ref", "pack_ref", F.coalesce(before, F.lit(0)).cast("long").alias("offset"), "length")
