@@ -23,6 +23,8 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
+from .common import tidied
+
 #: Words with more symbols than this are merged with a heap.
 LONG = 400
 #: Entries of the per-process word cache before it is emptied (memory bound, no effect on results).
@@ -305,7 +307,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
                 place += len(part)
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)
 
 
 def normalise(text: str) -> str:
@@ -368,4 +370,4 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", c
             cols = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, size, pa.array(counts), pa.array(counts > limit)], names=[*names, "n_bytes", "n_tokens", "over_limit"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)

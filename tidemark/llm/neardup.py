@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import released, written
+from .common import released, tidied, written
 
 SHINGLE = 5
 #: Linked when HUNDREDTHS * union <= 100 * intersection.
@@ -189,7 +189,7 @@ def _emit(docs: DataFrame, text: str, ident: str, parts: int) -> DataFrame:
             cols += [pa.concat_arrays([pa.array(np.ascontiguousarray(bits[:, i])), pa.nulls(k, pa.int64())]) for i in range(DENSE)]
             yield pa.RecordBatch.from_arrays(cols, names=["p", "blob", "id", "n", "class", *SKETCH])
 
-    return src.mapInArrow(run, f"p int, blob binary, id {src.schema['__id'].dataType.simpleString()}, n long, class long, " + ", ".join(f"{x} long" for x in SKETCH))
+    return src.mapInArrow(tidied(run), f"p int, blob binary, id {src.schema['__id'].dataType.simpleString()}, n long, class long, " + ", ".join(f"{x} long" for x in SKETCH))
 
 
 def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +297,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         right.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidied(run), "a long, b long")
 
 
 def _near(l: str, r: str) -> Column:
