@@ -194,6 +194,16 @@ def test_personal_data_base_and_disguises(docs):
         assert pii.mask(text) == want
 
 
+def test_personal_data_few_spelled_digits_and_other_languages():
+    for text, want in (
+        ("192 dot 168 dot one dot one", "[IP]"), ("+1 212 five five five 0100", "[PHONE]"), ("in 2024, 192 dot 168 dot one dot 1 was", "in 2024, [IP] was"), ("192 (dot) 168 (dot) one (dot) one", "[IP]"),
+        ("192 punkt 168 punkt eins punkt eins", "[IP]"), ("ruf plus vier neun eins fünf eins zwei drei vier fünf sechs an", "ruf [PHONE] an"), ("au plus trois trois six un deux trois quatre cinq six sept", "au [PHONE]"), ("más tres cuatro seis uno dos tres cuatro cinco seis siete ocho", "[PHONE]"),
+        ("jean arobase exemple point fr", "[EMAIL]"), ("juan arroba ejemplo punto es", "[EMAIL]"), ("max at beispiel punkt de", "[EMAIL]"), ("４１１１ １１１１ １１１１ １１１１, one of them", "[CARD], one of them"),
+        ("look at this point in time", "look at this point in time"), ("one or two of 3, 4 or five", "one or two of 3, 4 or five"), ("zu zweit um acht, neun oder 10", "zu zweit um acht, neun oder 10"),
+    ):
+        assert pii.mask(text) == want
+
+
 def test_personal_data_scans_long_texts_once():
     import time
 

@@ -2,7 +2,7 @@
 
 The base patterns run on the text as it is.  Then transducers rewrite disguises
 (look-alike letters and digits, zero-width characters, spelled digits, written-out
-"at" and "dot") while recording which source characters every rewritten character
+"at" and "dot", the words in English, German, French and Spanish) while recording which source characters every rewritten character
 stands for; the same detectors run on the rewritten text and what they find maps back
 to source characters.  A mapped span is added unless it overlaps a base span.
 """
@@ -39,17 +39,29 @@ INVISIBLE = "​‌‍⁠﻿­"
 #: Compatibility letters, digits and signs: full width, mathematical, enclosed; digits of other scripts.
 COMPATIBLE = "！-～\U0001d400-\U0001d7ff①-⑳Ⓐ-ⓩ⁰-₉²³¹٠-٩۰-۹०-९"
 FOREIGN = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + COMPATIBLE + "]")
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-NUMBER = "|".join(SPELLED)
-#: At least four spelled digits among digits, separators and written dots.
-SPELLED_RUN = re.compile(rf"(?<![a-z])(?:(?<![0-9])|(?<=[a-z][0-9]))(?:plus[\s-]+|\+\s?)?(?:(?:{NUMBER})(?![a-z])|[0-9]+)(?:(?:[\s,-]+|\s+(?:dot|point)\s+|\s?\.\s?)(?:(?:{NUMBER})(?![a-z])|[0-9]+))+")
-TOKEN = re.compile(rf"(?P<num>(?:{NUMBER})(?![a-z]))|(?P<dot>\s*(?:\bdot\b|\bpoint\b|\.)\s*)|(?P<plus>plus[\s-]+|\+\s?)|(?P<dig>[0-9]+)|(?P<sep>[\s,-]+)")
-FEWEST = 4
+#: Digit words of the languages of the table: English, German, French, Spanish; "une" is an article only.
+WORDS = (
+    ("zero", "oh", "null", "zéro", "cero"), ("one", "eins", "un", "uno"), ("two", "zwei", "zwo", "deux", "dos"), ("three", "drei", "trois", "tres"), ("four", "vier", "quatre", "cuatro"),
+    ("five", "fünf", "fuenf", "cinq", "cinco"), ("six", "sechs", "seis"), ("seven", "sieben", "sept", "siete"), ("eight", "acht", "huit", "ocho"), ("nine", "neun", "neuf", "nueve"),
+)
+#: Accents may come as one character or as a letter and a mark.
+SPELLED = {unicodedata.normalize(form, w): str(d) for d, words in enumerate(WORDS) for w in words for form in ("NFC", "NFD")}
+#: A letter of any script: digit words stand alone.
+LETTER = r"[^\W\d_]"
+NUMBER = rf"(?:{'|'.join(SPELLED)})(?!{LETTER})"
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
+DOTS = "dot|point|punkt|punto"
+WRITTEN_DOT = rf"\s*{OPEN}\s*(?:{DOTS}|\.)\s*{CLOSE}\s*|\s+(?:{DOTS})\s+|\s?\.\s?"
+PLUS = r"(?:plus|más|mas)[\s-]+|\+\s?"
+ITEM = rf"(?:{NUMBER}|[0-9]+)"
+#: Digits and spelled digits with separators and written dots between them; one alone only after a plus.
+SPELLED_RUN = re.compile(rf"(?<!{LETTER})(?:(?<![0-9])|(?<=[a-z][0-9]))(?:(?:{PLUS}){ITEM}(?:(?:{WRITTEN_DOT}|[\s,()-]+){ITEM})*|{ITEM}(?:(?:{WRITTEN_DOT}|[\s,()-]+){ITEM})+)")
+TOKEN = re.compile(rf"(?P<num>{NUMBER})|(?P<dot>{WRITTEN_DOT})|(?P<plus>{PLUS})|(?P<dig>[0-9]+)|(?P<sep>[\s,()-]+)")
 #: White space taken from its start only, so a long run of it is scanned once.
 GAP = r"(?<!\s)\s++"
-AT = re.compile(rf"(?:{GAP})?{OPEN}\s*(?:at|@|arroba)\s*{CLOSE}\s*|{GAP}(?:at|arroba)\s+(?=[a-z0-9-]+(?:\s+dot\s+|\s*{OPEN}\s*(?:dot|\.)\s*{CLOSE}\s*|\.)[a-z0-9])|{GAP}@\s+(?=[a-z0-9])")
-DOT = re.compile(rf"(?:{GAP})?{OPEN}\s*(?:dot|\.|punkt|punto)\s*{CLOSE}\s*|{GAP}(?:dot|punkt|punto)\s+(?=[a-z0-9])")
+#: Without brackets, "at" needs dots that its language does not use for other things: "at this point in" is prose.
+AT = re.compile(rf"(?:{GAP})?{OPEN}\s*(?:at|ät|@|arroba|arr?obase|klammeraffe)\s*{CLOSE}\s*|{GAP}(?:at|ät|klammeraffe)\s+(?=[a-z0-9-]+(?:\s+(?:dot|punkt)\s+|\s*{OPEN}\s*(?:{DOTS}|\.)\s*{CLOSE}\s*|\.)[a-z0-9])|{GAP}(?:arroba|arr?obase)\s+(?=[a-z0-9-]+(?:\s+(?:{DOTS})\s+|\s*{OPEN}\s*(?:{DOTS}|\.)\s*{CLOSE}\s*|\.)[a-z0-9])|{GAP}@\s+(?=[a-z0-9])")
+DOT = re.compile(rf"(?:{GAP})?{OPEN}\s*(?:{DOTS}|\.)\s*{CLOSE}\s*|{GAP}(?:{DOTS})\s+(?=[a-z0-9])")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -136,17 +148,20 @@ def glyphs(text: str) -> list[Edit]:
     return out
 
 
-def spelled(low: str) -> list[Edit]:
-    out = []
+def spelled(low: str) -> tuple[list[Edit], list[Edit]]:
+    """Edits of every run that holds a spelled digit: without any separators, and with those between two groups of plain digits left."""
+    joined, apart = [], []
     for m in SPELLED_RUN.finditer(low):
         tokens = list(TOKEN.finditer(low, m.start(), m.end()))
-        if sum(t.lastgroup == "num" for t in tokens) < FEWEST:
+        if all(t.lastgroup != "num" for t in tokens):
             continue
-        for t in tokens:
-            new = {"num": SPELLED.get(t[0], ""), "dot": ".", "plus": "+", "dig": t[0], "sep": ""}[t.lastgroup]
+        for k, t in enumerate(tokens):
             if t.lastgroup != "dig":
-                out.append((t.start(), t.end(), new))
-    return out
+                edit = (t.start(), t.end(), {"num": SPELLED.get(t[0], ""), "dot": ".", "plus": "+", "sep": ""}[t.lastgroup])
+                joined.append(edit)
+                if t.lastgroup != "sep" or tokens[k - 1].lastgroup == "num" or tokens[k + 1].lastgroup == "num":
+                    apart.append(edit)
+    return joined, apart
 
 
 def disguises(low: str) -> list[Edit]:
@@ -158,20 +173,11 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def disguised(text: str) -> list[list[tuple[int, int]]]:
-    """Spans of each kind that show only after the transducers, in source characters."""
-    steps: list[Rewritten] = []
-    now = text
-    if not now.isascii() and FOREIGN.search(now):
-        steps.append(Rewritten(now, glyphs(now)))
-        now = steps[-1].text
+def _found(now: str, steps: list[Rewritten]) -> list[list[tuple[int, int]]]:
+    """What the detectors find once written-out signs are rewritten too, in source characters."""
     low = _lower(now)
-    if sum(low.count(w) for w in SPELLED) >= FEWEST and (edits := spelled(low)):
-        steps.append(Rewritten(now, edits))
-        now = steps[-1].text
-        low = _lower(now)
-    if ("dot" in low or "punkt" in low or "punto" in low or "@" in low or "arroba" in low or "at" in low and "." in low) and (edits := disguises(low)):
-        steps.append(Rewritten(now, edits))
+    if ("dot" in low or "point" in low or "punkt" in low or "punto" in low or "@" in low or "arroba" in low or "obase" in low or "at" in low and "." in low or "ät" in low or "klammeraffe" in low) and (edits := disguises(low)):
+        steps = [*steps, Rewritten(now, edits)]
         now = steps[-1].text
     if not steps:
         return [[], [], [], []]
@@ -181,6 +187,36 @@ def disguised(text: str) -> list[list[tuple[int, int]]]:
     return found
 
 
+def disguised(text: str) -> list[list[tuple[int, int]]]:
+    """Spans of each kind that show only after the transducers, in source characters.
+
+    A run with spelled digits is read as it is, joined, and with plain groups left apart; where the
+    readings overlap the longest span holds.
+    """
+    steps: list[Rewritten] = []
+    now = text
+    if not now.isascii() and FOREIGN.search(now):
+        steps.append(Rewritten(now, glyphs(now)))
+        now = steps[-1].text
+    found = _found(now, steps)
+    joined, apart = spelled(_lower(now))
+    if not joined:
+        return found
+    readings = [found]
+    for edits in (joined, apart) if apart != joined else (joined,):
+        step = Rewritten(now, edits)
+        readings.append(_found(step.text, [*steps, step]))
+    out = []
+    for kind in zip(*readings, strict=True):
+        best: list[tuple[int, int]] = []
+        for s, e in sorted({x for spans in kind for x in spans}, key=lambda x: (x[0] - x[1], x)):
+            i = bisect_left(best, (s, e))
+            if (i == 0 or best[i - 1][1] <= s) and (i == len(best) or best[i][0] >= e):
+                best.insert(i, (s, e))
+        out.append(best)
+    return out
+
+
 def spans(text: str) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
     """(base spans, spans the method adds) of each kind."""
     base, more = detect(text), disguised(text)
