@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, neardup, pii, quality
-from tidemark.llm.common import table, written
+from tidemark.llm.common import ROW, numbered, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    verdict = quality.quality(docs)
-    gone = written(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__gone")), "left_anti")
+    """Rows that the quality rules reject go; the verdict is the row's own, whatever identifier it has."""
+    rows = numbered(docs)
+    gone = written(quality.quality(rows, carry=(ROW,)).where(~F.col("kept")).select(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """Exactly one row of each group of near duplicates stays."""
     return neardup.keep_one(docs)
 
 

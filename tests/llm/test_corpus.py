@@ -256,3 +256,15 @@ def test_pipeline_stages_keep_the_columns(spark, docs):
     assert {r.doc_id for r in ids} == one
     text = {r.doc_id: pii.mask(r.text) for r in docs.collect()}
     assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in ids)
+
+
+def test_pipeline_stages_decide_by_row(spark):
+    rng = random.Random(8)
+    text = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    clean, twin, other, last = text(60), text(60), text(60), text(60)
+    rows = [(None, "too short"), (None, clean), (1, "short too"), (1, other), (2, None), (None, twin), (3, twin), (None, last), (None, last), (4, other), (4, other), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").coalesce(3)
+    count = lambda out: collections.Counter((r.doc_id, r.text) for r in out.collect())
+    good = [(i, t) for i, t in rows if t and len(t) > 20]
+    assert count(corpus_pipeline.quality_rules(spark, df, SF)) == collections.Counter(good)
+    assert count(corpus_pipeline.jaccard_join(spark, df, SF)) == collections.Counter([(None, "too short"), (None, clean), (1, "short too"), (1, other), (2, None), (3, twin), (None, last), (None, "")])

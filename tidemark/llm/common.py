@@ -42,6 +42,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Column that numbers the rows of a written table.
+ROW = "__row"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with a number of their own, written once so that every later read sees the same numbers."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
 def released(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps: it does so once the driver's JVM has collected their owners."""
     gc.collect()

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import released, tidied, written
+from .common import ROW, numbered, released, tidied, written
 
 SHINGLE = 5
 #: Linked when HUNDREDTHS * union <= 100 * intersection.
@@ -387,13 +387,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
 
 
 def keep_one(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """The documents without near duplicates: of each component the one with the smallest identifier stays.
+    """The rows without near duplicates: of each component exactly one row stays, one with the smallest identifier.
 
-    Texts without words are left alone.  Rows that repeat an identifier are one document and stay or go together.
+    A null identifier comes after all others; among rows that share the smallest one the first by row
+    number stays.  Texts without words are left alone.  Rows that repeat an identifier are told apart.
     """
-    found = near_duplicates(docs, text, ident)
-    gone = written(found.where(~F.col(ident).eqNullSafe(F.col("component_id"))).select(F.col(ident).alias("__gone")).distinct())
-    return docs.join(gone, F.col(ident).eqNullSafe(F.col("__gone")), "left_anti")
+    rows = numbered(docs)
+    found = written(near_duplicates(rows, text, ROW).where("n_shingles > 0").select(ROW, F.col("component_id").alias("__comp")))
+    # a component of one row needs no look at its identifier
+    many = found.where(F.col(ROW) != F.col("__comp")).select("__comp").distinct()
+    met = written(found.join(many, "__comp").join(rows.select(ROW, F.col(ident).alias("__ident")), ROW))
+    best = met.groupBy("__comp").agg(F.min(F.struct(F.col("__ident").isNull().alias("lost"), F.col("__ident"), F.col(ROW))).alias("best")).select(F.col(f"best.{ROW}").alias(ROW))
+    gone = written(met.select(ROW).join(best, ROW, "left_anti"))
+    return rows.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same result by plain joins on shingles.
