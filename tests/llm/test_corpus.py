@@ -161,6 +161,15 @@ def test_extraction_on_held_out_layouts_and_awkward_pages(spark):
     assert html.main_text(df).count() == 3 and html.main_text(df.limit(0)).count() == 0
 
 
+def test_embedded_elements_do_not_cut_the_page():
+    for source, want in (
+        ('<p>a</p><svg class="i"/><p>rest of article</p>', ["a", "rest of article"]), ('<p>a</p><svg class="i"/><p>b</p><svg><text>t</text></svg><p>c</p>', ["a", "b", "c"]), ("<div><p>a</p><object data='x'></div><p>b</p>", ["a", "b"]), ("<p>a</p><object data='x'><p>b</p>", ["a", "b"]),
+        ("<p>a</p><select><option>x</select><p>b</p>", ["a", "b"]), ("<p>a<svg><title/><path d='m'/><text>t</text></svg>b</p>", ["ab"]), ("<object><object>x</object>y</object><p>b</p>", ["b"]), ("<TEMPLATE><div>x</div></TEMPLATE>a<noscript><p>n</p></noscript>", ["a"]),
+        ("<svg-icon>i</svg-icon><p>b</p>", ["i", "b"]), ("<p>a</p><script>if (a<b)", ["a"]), ("<p>a</p><svg><svg>x</svg>", ["a", ""]), ("a<svg", ["a"]),
+    ):
+        assert html.Page(source).blocks == [b for b in want if b], source
+
+
 def test_bpe_equals_the_library(docs, odd):
     from tokenizers import Tokenizer
 

@@ -26,7 +26,10 @@ SAMPLE, TREES, DEPTH, RATE, BINS = 256, 60, 4, 0.3, 32
 #: Pages handled together, in characters.
 CHUNK = 1 << 21
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|select|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>|<(?=/?[a-zA-Z])[^<]*\Z", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|iframe|textarea|title)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?][^>]*>|<(?=/?[a-zA-Z])[^<]*\Z", re.S | re.I)
+#: Elements dropped with all they hold, once they are closed; one that is never closed drops nothing.
+DROPPED = frozenset("svg object select template noscript".split())
+DROPS = re.compile(rf"<(?:{'|'.join(sorted(DROPPED))})(?=[\s/>])", re.I)
 ATTRIBUTE = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 WORD = re.compile(r"[a-z]+")
 SPACE = re.compile(r"[ \t\n\r\f\v\x85\xa0  -     　]+")
@@ -57,6 +60,58 @@ def groups_of(attributes: str) -> int:
     return bits
 
 
+def tokens(source: str) -> Iterator[re.Match[str]]:
+    """The markup of a page; inside svg a raw-text tag may be self-closed and then holds nothing."""
+    at, svg = 0, 0
+    while m := TOKEN.search(source, at):
+        at = m.end()
+        if m[1] and svg and (end := source.find(">", m.start()) + 1) and source[end - 2] == "/":
+            at = end
+            continue
+        if m[3] and m[3].lower() == "svg":
+            svg = max(svg - 1, 0) if m[2] else svg + (not m[0].endswith("/>"))
+        yield m
+
+
+def visible(source: str) -> Iterator[tuple[int, int, re.Match[str] | None]]:
+    """(start, end, tag) of the markup; a dropped element is one piece of markup without a tag.
+
+    An element is matched with its end tag on the stack of open elements, so one left open ends with its parent.
+    """
+    if not DROPS.search(source):
+        for m in TOKEN.finditer(source):
+            yield m.start(), m.end(), m
+        return
+    found = list(tokens(source))
+    stop: dict[int, int] = {}
+    names: list[str] = []
+    places: list[int] = []
+    held: dict[str, int] = {}
+    for k, m in enumerate(found):
+        name = m[3] and m[3].lower()
+        if not name or name in VOID:
+            continue
+        if not m[2]:
+            if name != "svg" and not (held.get("svg") and m[0].endswith("/>")) or name == "svg" and not m[0].endswith("/>"):
+                names.append(name)
+                places.append(k)
+                held[name] = held.get(name, 0) + 1
+        elif held.get(name):
+            while True:
+                top, place = names.pop(), places.pop()
+                held[top] -= 1
+                if top == name:
+                    break
+            if name in DROPPED:
+                stop[place] = k
+    k = 0
+    while k < len(found):
+        m, last = found[k], found[stop.get(k, k)]
+        name = m[3] and m[3].lower()
+        yield m.start(), last.end(), None if name in DROPPED and not m[2] else m
+        k = stop.get(k, k) + 1
+
+
 class Page:
     """Block nodes in page order, and the pieces of text with the node that owns each block."""
 
@@ -94,14 +149,14 @@ class Page:
             elif t not in INLINE:
                 open_nodes.pop()
 
-        for m in TOKEN.finditer(source):
-            if m.start() > at:
-                text = source[at : m.start()]
+        for start, end, m in visible(source):
+            if start > at:
+                text = source[at:start]
                 piece.append(text)
                 if links:
                     linked += len(text)
-            at = m.end()
-            name = m[3]
+            at = end
+            name = m and m[3]
             if name is None:
                 continue
             name = name.lower()
