@@ -23,23 +23,50 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can read; a local one is made only when none is configured (tests)."""
+    """The folder every executor can read; a local one is made only where none is configured and there are no other machines (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut the lineage: write the rows once to the shared folder as Parquet and read them back.
 
-    Unlike a local checkpoint the files outlive any executor.
+    Unlike a local checkpoint the files outlive any executor.  They lie in a folder named by the
+    application, which goes when the driver ends; ``discarded`` removes a table before that.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+    run = f"{shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}"
+    path = f"{run}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _file_system(spark, run)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Remove written tables that no later plan reads."""
+    for df in tables:
+        fs, where = _file_system(df.sparkSession, df._written_at)
+        fs.delete(where, True)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files that the rows come from, as the optimiser states them; 0 where it cannot tell (no files, joins)."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = int(str(plan.stats().sizeInBytes()))
+    return size if plan.collectLeaves().size() == 1 and size < 1 << 60 else 0
 
 
 #: Column that numbers the rows of a written table.
