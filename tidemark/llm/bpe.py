@@ -1,18 +1,25 @@
 """Byte-pair encoding in numpy: batched merge rounds over many words at once.
 
-The symbols of all words of a batch lie in one flat array.  In each round every
-adjacent pair inside a word is looked up by binary search over the sorted pair
-keys, each word finds its lowest rank, and all occurrences of that pair (left to
-right, not overlapping) merge together.  Words longer than ``LONG`` symbols take
-a heap instead, so one giant word does not cost a round over all of it per merge.
+The symbols of all words of a batch lie in one flat array, beside the rank of the
+pair that starts at each.  Ranks come from binary search over the sorted pair keys;
+after a round only pairs beside a merge are looked up again.  In each round every
+word finds its lowest rank, and all occurrences of that pair (left to right, not
+overlapping) merge together.
+
+The same rounds serve words of any length.  A word is cut into segments of ``reach``
+symbols, and a segment may merge its lowest pair as soon as neither neighbour has a
+lower one.  That gives the library's result: a merge elsewhere can only come near by
+growing one token, a token has at most ``reach // 2`` bytes, and a whole neighbouring
+segment lies between.  So a giant word needs about as many rounds as a segment has
+symbols, not one for each merge, and a word of one segment merges its own lowest pair.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
-import heapq
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -25,13 +32,12 @@ from pyspark.sql import DataFrame
 
 from .common import tidied
 
-#: Words with more symbols than this are merged with a heap.
-LONG = 400
-#: Entries of the per-process word cache before it is emptied (memory bound, no effect on results).
-CACHE = 200_000
+#: Entries, and characters, of the per-process word cache before it is emptied (memory bound, no effect on results).
+CACHE, CACHED = 200_000, 1 << 24
 #: Texts handled together, in characters.
 CHUNK = 1 << 21
-NONE = np.int64(1) << 40
+#: Rank of a pair that never merges.
+NONE = np.int32(0x7FFFFFFF)
 
 
 def byte_letters() -> list[str]:
@@ -60,10 +66,9 @@ class Merges:
         pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in model["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks = keys[order], order.astype(np.int64)
+        self.keys, self.ranks = keys[order], order.astype(np.int32)
         cut = len(self.suffix)
         self.merged = np.array([vocab[a[: len(a) - cut] + b if cut and a.endswith(self.suffix) else a + b] for a, b in pairs], np.int64)
-        self.table = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
         back = {x: b for b, x in enumerate(letters)}
         n = max(max(vocab.values()), *self.special.values()) + 1
         raw: list[bytes] = [b""] * n
@@ -75,6 +80,8 @@ class Merges:
         self.token_len = np.array([len(x) for x in raw], np.int64)
         self.token_at = np.concatenate([[0], np.cumsum(self.token_len)])[:-1]
         self.token_bytes = np.frombuffer(b"".join(raw), np.uint8)
+        #: Symbols of a segment: more than two tokens hold.
+        self.reach = 2 * int(self.token_len[self.merged].max(initial=1)) + 2
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair by binary search, NONE where it never merges."""
@@ -83,78 +90,86 @@ class Merges:
         at[at == len(self.keys)] = 0
         return np.where(self.keys[at] == key, self.ranks[at], NONE)
 
-    def long_word(self, data: bytes) -> np.ndarray:
-        """One word by a heap of (rank, place) over a linked list."""
-        sym = self.start[np.frombuffer(data, np.uint8)].tolist()
-        sym[-1] = int(self.last[data[-1]])
-        n, table, merged = len(sym), self.table, self.merged
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i) for i in range(n - 1) if (r := table.get(sym[i] << 32 | sym[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i = heapq.heappop(heap)
-            if sym[i] < 0 or (j := after[i]) >= n or table.get(sym[i] << 32 | sym[j]) != r:
-                continue
-            sym[i], sym[j] = int(merged[r]), -1
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                if (q := table.get(sym[i] << 32 | sym[k])) is not None:
-                    heapq.heappush(heap, (q, i))
-            if (p := before[i]) >= 0 and (q := table.get(sym[p] << 32 | sym[i])) is not None:
-                heapq.heappush(heap, (q, p))
-        return np.array([s for s in sym if s >= 0], np.int64)
+    def _ranked(self, sym: np.ndarray, owner: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Rank of the pairs that start at the places ``at``; NONE at the end of a word."""
+        out = np.full(len(at), NONE)
+        inside = np.flatnonzero(at < len(sym) - 1)
+        inside = inside[owner[at[inside]] == owner[at[inside] + 1]]
+        out[inside] = self.lookup(sym[at[inside]], sym[at[inside] + 1])
+        return out
 
-    def merge_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat token ids of all words and the number of ids of each word (empty words have none)."""
+    def rounds(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(word of each id, ids) of words as they finish; empty words have no ids."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        count = size.copy()
-        done: list[tuple[np.ndarray, np.ndarray]] = []  # (word of each id, ids)
-        for w in np.flatnonzero(size > LONG):
-            ids = self.long_word(words[w])
-            done.append((np.full(len(ids), w), ids))
-            count[w] = len(ids)
-        short = np.flatnonzero((size > 0) & (size <= LONG))
-        length = size[short]
-        sym = self.start[np.frombuffer(b"".join([words[w] for w in short]), np.uint8)]
-        if len(short):
-            end = np.cumsum(length) - 1
-            tail = np.frombuffer(b"".join([words[w][-1:] for w in short]), np.uint8)
-            sym[end] = self.last[tail]
-        owner = np.repeat(short, length)
+        some = np.flatnonzero(size)
+        if not len(some):
+            return
+        length = size[some]
+        sym = self.start[np.frombuffer(b"".join(words), np.uint8)]
+        sym[np.cumsum(length) - 1] = self.last[np.fromiter((words[w][-1] for w in some), np.int64, len(some))]
+        owner = np.repeat(some, length)
+        rank = self._ranked(sym, owner, np.arange(len(sym)))
         while len(sym):
-            inside = owner[:-1] == owner[1:]
-            rank = np.full(len(sym), NONE)
-            at = np.flatnonzero(inside)
-            rank[at] = self.lookup(sym[at], sym[at + 1])
-            first = np.flatnonzero(np.concatenate([[True], ~inside]))
-            lowest = np.minimum.reduceat(rank, first)
+            first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             spans = np.diff(np.append(first, len(sym)))
-            low = np.repeat(lowest, spans)
-            idle = low == NONE
+            pieces = -(-spans // self.reach)
+            word = np.repeat(np.arange(len(first)), pieces)
+            lead = np.cumsum(pieces) - pieces
+            cut = first[word] + (np.arange(len(word)) - lead[word]) * self.reach
+            own = np.minimum.reduceat(rank, cut)
+            low = own.copy()
+            near = np.flatnonzero(word[1:] == word[:-1])
+            low[near + 1] = np.minimum(low[near + 1], own[near])
+            low[near] = np.minimum(low[near], own[near + 1])
+            idle = np.minimum.reduceat(own, lead) == NONE
             if idle.any():  # finished words leave the flat array
-                done.append((owner[idle], sym[idle]))
-                busy = ~idle
-                sym, owner, rank, low = sym[busy], owner[busy], rank[busy], low[busy]
+                out = np.repeat(idle, spans)
+                yield owner[out], sym[out]
+                busy = ~out
+                sym, owner, rank = sym[busy], owner[busy], rank[busy]
                 if not len(sym):
-                    break
+                    return
+                low = np.repeat(low[~idle[word]], np.diff(np.append(cut, len(out)))[~idle[word]])
+            else:
+                low = np.repeat(low, np.diff(np.append(cut, len(sym))))
             hit = rank == low
-            # of a run of overlapping hits every second one merges, from the left
+            hit &= low != NONE
             where = np.flatnonzero(hit)
+            # of a run of overlapping hits every second one merges, from the left
             fresh = np.ones(len(where), bool)
-            fresh[1:] = (where[1:] != where[:-1] + 1) | (owner[where[1:]] != owner[where[:-1]])
-            run = np.maximum.accumulate(np.where(fresh, np.arange(len(where)), 0))
-            where = where[(np.arange(len(where)) - run) % 2 == 0]
+            fresh[1:] = where[1:] != where[:-1] + 1
+            head = np.maximum.accumulate(np.where(fresh, np.arange(len(where)), 0))
+            # a run that goes on to the left of what may merge now has no known start: it waits
+            start = where[fresh]
+            begun = (start > 0) & (rank[start - 1] == rank[start])
+            take = (np.arange(len(where)) - head) % 2 == 0
+            if begun.any():
+                take &= ~begun[np.cumsum(fresh) - 1]
+            where = where[take]
             sym[where] = self.merged[rank[where]]
             keep = np.ones(len(sym), bool)
             keep[where + 1] = False
-            sym, owner = sym[keep], owner[keep]
+            sym, owner, rank = sym[keep], owner[keep], rank[keep]
+            at = where - np.arange(len(where))
+            rank[at] = self._ranked(sym, owner, at)
+            at = at[at > 0] - 1
+            rank[at] = self._ranked(sym, owner, at)
+
+    def merge_rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Flat token ids of all words and the number of ids of each word (empty words have none)."""
+        done = list(self.rounds(words))
         if not done:
-            return np.empty(0, np.int64), count
+            return np.empty(0, np.int64), np.zeros(len(words), np.int64)
         owners, ids = np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
         order = np.argsort(owners, kind="stable")
-        count = np.bincount(owners, minlength=len(words)).astype(np.int64)
-        return ids[order], count
+        return ids[order], np.bincount(owners, minlength=len(words)).astype(np.int64)
+
+    def survivors(self, words: list[bytes]) -> np.ndarray:
+        """How many symbols of each word are left when nothing merges any more."""
+        out = np.zeros(len(words), np.int64)
+        for owner, _ in self.rounds(words):
+            out += np.bincount(owner, minlength=len(words))
+        return out
 
     def decode(self, ids: np.ndarray) -> bytes:
         return gather(self.token_bytes, self.token_at[ids], self.token_len[ids]).tobytes()
@@ -180,6 +195,27 @@ BYTE_LEVEL = regex.compile(public_tokenizers.PATTERN)
 WORD_LEVEL = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+#: Code points (hexadecimal, ranges included) that the regular expressions here know as letters or
+#: numbers and the library, with older character tables, does not.
+NEW_LETTERS = (
+    "558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 "
+    "16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 16FF4-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF "
+    "1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+).split()
+RANGES = ["-".join(chr(int(c, 16)) for c in r.split("-")) for r in NEW_LETTERS]
+RARE = re.compile("[" + "".join(RANGES) + "]")
+#: What most texts have none of; cheaper to look for than RARE.
+RARE_BASIC, BEYOND = re.compile("[" + "".join(r for r in RANGES if r[0] < "\U00010000") + "]"), re.compile("[\U00010000-\U0010ffff]")
+
+
+def split(pattern: regex.Pattern, text: str) -> list[str]:
+    """Matches of a split pattern, with letters and numbers as the library knows them."""
+    if text.isascii() or not (RARE_BASIC.search(text) or BEYOND.search(text) and RARE.search(text)):
+        return pattern.findall(text)
+    plain = RARE.sub("\u203b", text)
+    return [text[m.start() : m.end()] for m in pattern.finditer(plain)]
+
+
 SPACE = regex.compile(r"\s+")
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
@@ -207,11 +243,12 @@ class Encoder:
 
     def reset(self) -> None:
         self.slot.clear()
+        self.held = 0
         self.ids, self.at, self.size = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts, and how many each text has."""
-        if len(self.slot) > CACHE:
+        if len(self.slot) > CACHE or self.held > CACHED:
             self.reset()
         slot, fresh, cells, per = self.slot, [], [], []
         special = {}
@@ -222,7 +259,7 @@ class Encoder:
                     special.setdefault(token, []).append(len(cells))
                     cells.append(-1)
                     continue
-                found = BYTE_LEVEL.findall(piece)
+                found = split(BYTE_LEVEL, piece)
                 try:
                     cells += [slot[w] for w in found]
                 except KeyError:
@@ -234,6 +271,7 @@ class Encoder:
                         cells.append(k)
             per.append(len(cells) - n)
         if fresh:
+            self.held += sum(map(len, fresh))
             ids, size = self.m.merge_rounds([w.encode() for w in fresh])
             self.at = np.concatenate([self.at, len(self.ids) + np.concatenate([[0], np.cumsum(size)[:-1]])])
             self.size = np.concatenate([self.size, size])
@@ -310,10 +348,13 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
     return src.mapInArrow(tidied(run), schema)
 
 
+#: Lower case of capitals that are newer than Python's character tables.
+NEWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+NEWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 def normalise(text: str) -> str:
     """NFC and lower case, letter by letter (a capital sigma never becomes a final one)."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").translate(NEWER)
     return text.lower()
 
 
@@ -324,10 +365,12 @@ class Counter:
         self.m = merges(path)
         self.splitter = regex.compile("(" + "|".join(map(regex.escape, self.m.special)) + ")") if self.m.special else None
         self.known: dict[str, int] = {}
+        self.held = 0
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.known) > CACHE:
+        if len(self.known) > CACHE or self.held > CACHED:
             self.known.clear()
+            self.held = 0
         known, pieces, extra = self.known, [], []
         for text in texts:
             n, words = 0, []
@@ -341,8 +384,9 @@ class Counter:
             extra.append(n)
         fresh = list({w for words in pieces for w in words if w not in known})
         if fresh:
-            tokens = [WORD_LEVEL.findall(w) for w in fresh]
-            _, size = self.m.merge_rounds([t.encode() for ts in tokens for t in ts])
+            tokens = [split(WORD_LEVEL, w) for w in fresh]
+            self.held += sum(map(len, fresh))
+            size = self.m.survivors([t.encode() for ts in tokens for t in ts])
             per = np.fromiter(map(len, tokens), np.int64, len(tokens))
             ends = np.concatenate([[0], np.cumsum(size)])
             stop = np.cumsum(per)
