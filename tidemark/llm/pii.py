@@ -1,8 +1,8 @@
 """Personal data: plain identifiers, and disguised ones found through offset-preserving transducers.
 
 The base patterns run on the text as it is.  Then transducers rewrite disguises
-(look-alike letters and digits, zero-width characters, spelled digits, written-out
-"at" and "dot", the words in English, German, French and Spanish) while recording which source characters every rewritten character
+(look-alike letters, digits of any script, zero-width characters, spelled digits,
+written-out "at" and "dot", the words in English, German, French and Spanish) while recording which source characters every rewritten character
 stands for; the same detectors run on the rewritten text and what they find maps back
 to source characters.  A mapped span is added unless it overlaps a base span.
 """
@@ -23,22 +23,40 @@ from .common import sha256_hex, tidied
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
+#: A run of digits is tried from its start only and never given back, so long runs are scanned once.
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
-#: Letters of other scripts that look like a Latin letter (compatibility forms follow from NFKC instead).
-LOOKALIKES = {
-    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "һ": "h", "ո": "n", "ս": "u", "ɡ": "g", "ı": "i",
-    "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "У": "Y", "Х": "X", "І": "I", "Ј": "J", "Ѕ": "S",
-    "α": "a", "ο": "o", "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "Α": "A", "Β": "B", "Ε": "E", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Χ": "X", "Υ": "Y", "Ζ": "Z",
-    "‐": "-", "‑": "-", "‒": "-", "–": "-", "−": "-", "․": ".", "。": ".", " ": " ", " ": " ", " ": " ",
+#: Letters of other scripts that are confusable with a Latin letter, by that letter.
+CONFUSABLE = {
+    "a": "аɑα", "b": "Ьƅ", "c": "сϲᴄⅽ", "d": "ԁɗⅾ", "e": "еҽ", "f": "ϝſ", "g": "ɡցƍ", "h": "һհ", "i": "іıɩι", "j": "јϳ", "k": "κк", "l": "ӏⅼ", "m": "ⅿ", "n": "ոռ", "o": "оοօσ",
+    "p": "рρ", "q": "ԛգ", "r": "гᴦ", "s": "ѕʂ", "t": "τт", "u": "υսʋ", "v": "νѵᴠ", "w": "ԝѡᴡ", "x": "хχ", "y": "уγү", "z": "ᴢʐ",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "F": "Ϝ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫͿ", "K": "КΚᏦ", "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ",
+    "Q": "Ԛ", "R": "ᎡᏒ", "S": "ЅᏚՏ", "T": "ТΤᎢ", "U": "Սሀ", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ΥҮ", "Z": "ΖᏃ", "-": "‐‑‒–−﹘", ".": "․。٠۔", "@": "＠﹫",
 }
-INVISIBLE = "​‌‍⁠﻿­"
-#: Compatibility letters, digits and signs: full width, mathematical, enclosed; digits of other scripts.
-COMPATIBLE = "！-～\U0001d400-\U0001d7ff①-⑳Ⓐ-ⓩ⁰-₉²³¹٠-٩۰-۹०-९"
-FOREIGN = re.compile("[" + "".join(map(re.escape, LOOKALIKES)) + INVISIBLE + COMPATIBLE + "]")
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
+PLAIN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789@.+-_() ")
+
+
+def _foreign() -> dict[str, str]:
+    """What stands for each look-alike: digits of any script, compatibility forms of one plain character, small capitals, confusables."""
+    out = {c: "" for c in INVISIBLE}
+    for k in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x10400, 0x1FC00)):
+        c = chr(k)
+        digit = unicodedata.digit(c, None)
+        plain = str(digit) if digit is not None else unicodedata.normalize("NFKC", c)
+        if len(plain) == 1 and plain in PLAIN:
+            out[c] = plain
+        elif (name := unicodedata.name(c, "")).startswith("LATIN LETTER SMALL CAPITAL ") and len(name) == 28:
+            out[c] = name[-1].lower()
+    return {c: plain for plain, own in CONFUSABLE.items() for c in own} | out
+
+
+LOOKALIKES = _foreign()
+#: Two patterns, as one of both would be much slower.
+FOREIGN, BEYOND = re.compile("[" + "".join(c for c in LOOKALIKES if c < "\U00010000") + "]"), re.compile("[\U00010400-\U0001fbff]")
 #: Digit words of the languages of the table: English, German, French, Spanish; "une" is an article only.
 WORDS = (
     ("zero", "oh", "null", "zéro", "cero"), ("one", "eins", "un", "uno"), ("two", "zwei", "zwo", "deux", "dos"), ("three", "drei", "trois", "tres"), ("four", "vier", "quatre", "cuatro"),
@@ -59,9 +77,25 @@ SPELLED_RUN = re.compile(rf"(?<!{LETTER})(?:(?<![0-9])|(?<=[a-z][0-9]))(?:(?:{PL
 TOKEN = re.compile(rf"(?P<num>{NUMBER})|(?P<dot>{WRITTEN_DOT})|(?P<plus>{PLUS})|(?P<dig>[0-9]+)|(?P<sep>[\s,()-]+)")
 #: White space taken from its start only, so a long run of it is scanned once.
 GAP = r"(?<!\s)\s++"
-#: Without brackets, "at" needs dots that its language does not use for other things: "at this point in" is prose.
-AT = re.compile(rf"(?:{GAP})?{OPEN}\s*(?:at|ät|@|arroba|arr?obase|klammeraffe)\s*{CLOSE}\s*|{GAP}(?:at|ät|klammeraffe)\s+(?=[a-z0-9-]+(?:\s+(?:dot|punkt)\s+|\s*{OPEN}\s*(?:{DOTS}|\.)\s*{CLOSE}\s*|\.)[a-z0-9])|{GAP}(?:arroba|arr?obase)\s+(?=[a-z0-9-]+(?:\s+(?:{DOTS})\s+|\s*{OPEN}\s*(?:{DOTS}|\.)\s*{CLOSE}\s*|\.)[a-z0-9])|{GAP}@\s+(?=[a-z0-9])")
+#: Without brackets a written "at" needs a written dot, and one that its language does not use for other things: "at this
+#: point in" is prose, and so is "look at example.com".
+NAME = r"[a-z0-9-]++"
+SHUT = rf"\s*{OPEN}\s*(?:{DOTS}|\.)\s*{CLOSE}\s*"
+AT = re.compile(
+    rf"(?:{GAP})?{OPEN}\s*(?:at|ät|@|arroba|arr?obase|klammeraffe)\s*{CLOSE}\s*"
+    rf"|{GAP}(?:at|ät|klammeraffe)\s+(?={NAME}(?:\s+(?:dot|punkt)\s+|{SHUT})[a-z0-9])"
+    rf"|{GAP}(?:arroba|arr?obase)\s+(?={NAME}(?:\s+(?:{DOTS})\s+|{SHUT})[a-z0-9])"
+    rf"|{GAP}@\s+(?=[a-z0-9])"
+)
 DOT = re.compile(rf"(?:{GAP})?{OPEN}\s*(?:{DOTS}|\.)\s*{CLOSE}\s*|{GAP}(?:{DOTS})\s+(?=[a-z0-9])")
+#: Top-level domains of more than two letters that an address read out of a disguise may end in.
+DOMAINS = frozenset("com org net edu gov mil int info biz name pro aero coop museum jobs mobi travel tel cat asia post app dev cloud online site shop store blog xyz tech space club live news email agency berlin paris test example invalid local".split())
+
+
+def plausible(address: str) -> bool:
+    """Whether an address found by rewriting ends like one: a country's two letters or a known domain, in one case."""
+    last = address.rpartition(".")[2]
+    return last.isalpha() and (last.islower() or last.isupper()) and (len(last) == 2 or last.lower() in DOMAINS)
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -140,12 +174,10 @@ class Rewritten:
 
 
 def glyphs(text: str) -> list[Edit]:
-    out = []
-    for m in FOREIGN.finditer(text):
-        c = m[0]
-        new = "" if c in INVISIBLE else LOOKALIKES.get(c) or (str(unicodedata.digit(c)) if unicodedata.digit(c, None) is not None else unicodedata.normalize("NFKC", c))
-        out.append((m.start(), m.end(), new))
-    return out
+    found = list(FOREIGN.finditer(text))
+    if BEYOND.search(text):
+        found = sorted([*found, *BEYOND.finditer(text)], key=lambda m: m.start())
+    return [(m.start(), m.end(), new) for m in found if (new := LOOKALIKES.get(m[0])) is not None]
 
 
 def spelled(low: str) -> tuple[list[Edit], list[Edit]]:
@@ -182,6 +214,7 @@ def _found(now: str, steps: list[Rewritten]) -> list[list[tuple[int, int]]]:
     if not steps:
         return [[], [], [], []]
     found = detect(now)
+    found[0] = [(s, e) for s, e in found[0] if plausible(now[s:e])]
     for step in reversed(steps):
         found = [[step.source(s, e) for s, e in spans] for spans in found]
     return found
@@ -195,8 +228,8 @@ def disguised(text: str) -> list[list[tuple[int, int]]]:
     """
     steps: list[Rewritten] = []
     now = text
-    if not now.isascii() and FOREIGN.search(now):
-        steps.append(Rewritten(now, glyphs(now)))
+    if not now.isascii() and (edits := glyphs(now)):
+        steps.append(Rewritten(now, edits))
         now = steps[-1].text
     found = _found(now, steps)
     joined, apart = spelled(_lower(now))
