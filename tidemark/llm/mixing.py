@@ -6,7 +6,7 @@ or, if that would repeat a source more often than allowed, the smallest a that k
 repetition limit.  The weights turn into a token budget per source.  A source is then
 dealt in passes: each pass is a fresh pseudo-random permutation of all its documents,
 full passes come whole and the last one stops at the budget.  Blocks take the sources in
-the target proportion.
+the target proportion, and every block is a pseudo-random permutation of what it holds.
 
 A hot source is never ordered in one task: permutations are cut into buckets by hash,
 bucket sums give every bucket its offset, and only rows of one bucket are ordered together.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import word_array, written
+from .common import ROW, numbered, word_array, written
 
 #: Entropy to reach, as a share of the entropy of equal weights.
 ENTROPY = 0.92
@@ -65,58 +65,56 @@ def _sized(docs: DataFrame, text: str, source: str) -> DataFrame:
     return docs.withColumn("__source", F.coalesce(F.concat(F.lit("="), F.col(source)), F.lit(""))).withColumn("__tokens", F.size(word_array(F.col(text))).cast("long"))
 
 
-def _place(epoch: str, ident: str) -> str:
-    """A place in [0, 2**31) for a document in one pass: a hash of the seed, the pass and the document."""
-    return f"(conv(substring(md5(concat_ws(':', '{SEED}', CAST({epoch} AS string), {ident})), 1, 8), 16, 10) div 2)"
+def _place(salt: str, epoch: str, ident: str) -> str:
+    """A place in [0, 2**31): a hash of the seed, the salt, the pass and the document."""
+    return f"CAST(conv(substring(md5(concat_ws(':', '{SEED}', '{salt}', CAST({epoch} AS string), {ident})), 1, 8), 16, 10) div 2 AS long)"
 
 
-def plan(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", entropy: float = ENTROPY, repeat: float = REPEAT, block: int = BLOCK) -> DataFrame:
-    """One row for each time a document is emitted: ident, source, n_tokens, epoch, block, weight, exponent.
+def plan(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", entropy: float = ENTROPY, repeat: float = REPEAT, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each time a document is emitted: ident, source, n_tokens, epoch, block, place, weight, exponent, carry columns.
 
-    Tokens are words.  A null source is a source of its own, null texts have no tokens; a document
-    without tokens comes once, with the first pass.  Rows that share the identifier and size tie and
-    are ordered together.  Every document comes at least once.  An empty table gives an empty plan.
+    ``block`` and ``place`` (from 1) give the order of the output: a block takes about ``block`` tokens, the sources
+    in proportion to their weights, in a permutation of its own.  Tokens are words.  A null source is a source of
+    its own, null texts have no tokens; a document without tokens comes once, in a block by its hash.  Rows that
+    share the identifier and size tie: they begin at the same place of a pass, so all of them or none are within
+    its budget.  Every document comes at least once.  An empty table gives an empty plan.
     """
-    rows = written(_sized(docs, text, source).select(F.col(ident).alias("__id"), F.col(source).alias("__name"), "__source", "__tokens"))
-    sizes = rows.groupBy(F.col("__source").alias("source")).agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    w = written(weights(sizes, entropy, repeat))
-    df = rows.join(w.select(F.col("source").alias("__source"), "exponent", "weight", "epochs", "tokens", "docs"), "__source")
+    extra = [f"__e{i}" for i in range(len(carry))]
+    rows = written(_sized(docs, text, source).select(F.col(ident).alias("__id"), F.col(source).alias("__name"), "__source", "__tokens", *[F.col(c).alias(x) for c, x in zip(carry, extra, strict=True)]))
+    sizes = rows.groupBy(F.col("__source").alias("source")).agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"), F.sum(F.expr("CAST(__tokens = 0 AS long)")).alias("empty"))
+    w = weights(sizes, entropy, repeat).join(sizes.select("source", "empty"), "source")
+    w = w.withColumn("share", F.greatest(F.lit(1), F.floor(F.col("weight") * block)).cast("long")).withColumn("budget", F.floor(F.col("epochs") * F.col("tokens") + 0.5).cast("long"))
+    # as many blocks as the budget fills, or as hold the documents without tokens in groups of BUCKET
+    whole = Window.partitionBy(F.lit(0))
+    w = written(w.withColumn("blocks", F.greatest(F.max(F.expr("(budget + share - 1) div share")).over(whole), F.ceil(F.sum("empty").over(whole) / BUCKET), F.lit(1)).cast("long")))
+    df = rows.join(w.select(F.col("source").alias("__source"), "exponent", "weight", "epochs", "tokens", "docs", "share", "budget", "blocks"), "__source")
     df = df.withColumn("epoch", F.explode(F.expr("sequence(0, CAST(CASE WHEN __tokens = 0 THEN 0 ELSE ceil(epochs) - 1 END AS int))")))
-    df = df.withColumn("__u", F.expr(f"CAST({_place('epoch', "coalesce(CAST(__id AS string), '')")} AS long)"))
+    name = "coalesce(CAST(__id AS string), '')"
+    df = df.withColumn("__u", F.expr(_place("pass", "epoch", name)))
     df = df.withColumn("__bucket", F.expr(f"CAST(__u * (1 + docs div {BUCKET}) div 2147483648 AS long)"))
     key = ["__source", "epoch", "__bucket"]
     sums = df.groupBy(*key).agg(F.sum("__tokens").alias("__t"))
     before = sums.withColumn("__before", F.sum("__t").over(Window.partitionBy("__source", "epoch").orderBy("__bucket")) - F.col("__t")).drop("__t")
     df = df.join(before, key)
-    # rows before this one in the permutation of its pass; ties share a place
+    # tokens before this row in the permutation of its pass; ties share a place
     inside = Window.partitionBy(*key).orderBy("__u", "__id", "__tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.withColumn("__start", F.col("__before") + F.sum("__tokens").over(inside) - F.col("__tokens"))
     at = F.col("epoch") * F.col("tokens") + F.col("__start")
-    budget = F.floor(F.col("epochs") * F.col("tokens") + 0.5).cast("long")
-    df = df.where((F.col("epoch") == 0) | (at < budget))
-    share = F.greatest(F.lit(1), F.floor(F.col("weight") * block)).cast("long")
-    return df.select(F.col("__id").alias(ident), F.col("__name").alias(source), F.col("__tokens").alias("n_tokens"), F.col("epoch"), F.floor(at / share).cast("long").alias("block"), F.round("weight", 9).alias("weight"), F.round("exponent", 9).alias("exponent"))
+    df = df.where((F.col("epoch") == 0) | (at < F.col("budget")))
+    number = F.when(F.col("__tokens") == 0, F.pmod("__u", "blocks")).otherwise(F.least(F.floor(at / F.col("share")), F.col("blocks") - 1)).cast("long")
+    df = df.withColumn("block", number).withColumn("__v", F.expr(_place("block", "epoch", name)))
+    order = Window.partitionBy("block").orderBy("__v", "__id", "epoch", "__source", "__tokens", *extra)
+    df = df.withColumn("place", F.row_number().over(order).cast("long"))
+    return df.select(F.col("__id").alias(ident), F.col("__name").alias(source), F.col("__tokens").alias("n_tokens"), F.col("epoch"), "block", "place", F.round("weight", 9).alias("weight"), F.round("exponent", 9).alias("exponent"), *[F.col(x).alias(c) for c, x in zip(carry, extra, strict=True)])
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", entropy: float = ENTROPY, repeat: float = REPEAT) -> DataFrame:
-    """The documents themselves, each as often as the plan emits it; columns as they came.
+def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str = "doc_id", entropy: float = ENTROPY, repeat: float = REPEAT, block: int = BLOCK) -> DataFrame:
+    """The documents themselves, each as often as the plan emits it and in the plan's order; columns as they came.
 
-    Only the counts travel: whole passes follow from the source, and membership in the last, partial
-    pass is decided by comparing a document's place with its source's stop place.
+    Rows meet the plan by a number of their own, so null and repeated identifiers stay apart.  The order is a
+    sort by ranges of (block, place).
     """
-    rows = written(_sized(docs, text, source).select(F.col(ident).alias("__id"), "__source", "__tokens"))
-    sizes = rows.groupBy(F.col("__source").alias("source")).agg(F.sum("__tokens").alias("tokens"), F.count(F.lit(1)).alias("docs"))
-    w = written(weights(sizes, entropy, repeat)).select(F.col("source").alias("__source"), F.col("tokens").alias("__all"), F.col("docs").alias("__docs"), F.col("epochs").alias("__epochs")).withColumn("__last", F.ceil("__epochs").cast("long") - 1)
-    place = f"CAST({_place('__last', "coalesce(CAST(__id AS string), '')")} AS long)"
-    bucket = f"CAST(__u * (1 + __docs div {BUCKET}) div 2147483648 AS long)"
-    df = rows.where("__tokens > 0").join(w.where("__last > 0"), "__source").withColumn("__u", F.expr(place)).withColumn("__bucket", F.expr(bucket))
-    rest = F.floor(F.col("__epochs") * F.col("__all") + 0.5).cast("long") - F.col("__last") * F.col("__all")
-    sums = df.groupBy("__source", "__bucket").agg(F.sum("__tokens").alias("__t"), F.first(rest).alias("__rest"))
-    edge = sums.withColumn("__before", F.sum("__t").over(Window.partitionBy("__source").orderBy("__bucket")) - F.col("__t")).where("__before < __rest AND __before + __t >= __rest")
-    inside = Window.partitionBy("__source", "__bucket").orderBy("__u", "__id", "__tokens").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    stop = df.join(edge, ["__source", "__bucket"]).withColumn("__start", F.col("__before") + F.sum("__tokens").over(inside) - F.col("__tokens")).where("__start < __rest").groupBy("__source").agg(F.max(F.struct("__u", F.col("__id"), "__tokens")).alias("__stop"))
-    w = written(w.join(stop, "__source", "left"))
-    out = _sized(docs, text, source).withColumn("__id", F.col(ident)).join(w, "__source").withColumn("__u", F.expr(place))
-    partial = F.coalesce(F.struct("__u", F.col("__id"), "__tokens") <= F.col("__stop"), F.lit(False))
-    times = F.when((F.col("__tokens") == 0) | (F.col("__last") == 0), F.lit(1)).otherwise(F.col("__last") + partial.cast("long"))
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = numbered(docs)
+    order = plan(rows, text, source, ident, entropy, repeat, block, (ROW,)).select(ROW, F.col("block").alias("__block"), F.col("place").alias("__place"))
+    out = rows.join(order, ROW).orderBy("__block", "__place")
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
