@@ -31,15 +31,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import ROW, numbered, released, tidied, written
+from .common import ROW, discarded, input_bytes, numbered, released, tidied, written
 
 SHINGLE = 5
 #: Linked when HUNDREDTHS * union <= 100 * intersection.
 HUNDREDTHS = 80
 #: Size bands grow by this factor.
 GROWTH = 1.6
-#: A fingerprint in up to so many classes gives all their pairs.
+#: A fingerprint in up to so many classes gives all their pairs; above, the star and the rest give the same links.
 FEW = 8
+#: Bytes of input (as stored) whose fingerprints one partition takes.
+PART = 1 << 25
 #: 64-bit words of the dense parity sketch that thins pairs before their texts are fetched.
 DENSE = 16
 SKETCH = [f"s{i}" for i in range(DENSE)]
@@ -91,8 +93,9 @@ def dense(shingles: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def class_id(shingles: np.ndarray) -> int:
-    return int(np.frombuffer(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), np.int64)[0])
+def class_id(shingles: np.ndarray) -> bytes:
+    """128 bits that stand for a set: 10^10 different ones collide with a chance of about 10^-19."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def bands() -> list[int]:
@@ -171,25 +174,25 @@ def _emit(docs: DataFrame, text: str, ident: str, parts: int) -> DataFrame:
             ps, blobs = [], []
             if who:
                 flat, entry = np.concatenate(keys), np.repeat(np.arange(len(who), dtype=np.int32), count)
-                part = (flat % np.uint64(parts)).astype(np.uint16)
+                part = (flat % np.uint64(parts)).astype(np.int64)
                 order = np.argsort(part, kind="stable")
                 flat, entry, part = flat[order], entry[order], part[order]
-                cuts = np.searchsorted(part, np.arange(parts + 1))
-                head = np.array([who, band, full], np.int64)
-                for p in range(parts):
-                    own = entry[cuts[p] : cuts[p + 1]]
-                    if len(own):
-                        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                        n = np.diff(np.append(first, len(own)))
-                        ps.append(p)
-                        blobs.append(np.int64(len(first)).tobytes() + head[:, own[first]].tobytes() + n.astype(np.int64).tobytes() + flat[cuts[p] : cuts[p + 1]].tobytes())
+                cuts = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
+                names = np.frombuffer(b"".join(who), np.int64).reshape(-1, 2).T
+                head = np.concatenate([names, np.array([band, full], np.int64)])
+                for k, p in enumerate(part[cuts[:-1]].tolist()):
+                    own = entry[cuts[k] : cuts[k + 1]]
+                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                    n = np.diff(np.append(first, len(own)))
+                    ps.append(p)
+                    blobs.append(np.int64(len(first)).tobytes() + head[:, own[first]].tobytes() + n.astype(np.int64).tobytes() + flat[cuts[k] : cuts[k + 1]].tobytes())
             m, k = len(classes), len(ps)
-            cols = [pa.array([c % parts for c in classes] + ps, pa.int32()), pa.array([None] * m + blobs, pa.binary()), pa.concat_arrays([ids, pa.nulls(k, ids.type)]), pa.array(n_set + [None] * k, pa.int64()), pa.array(classes + [None] * k, pa.int64())]
+            cols = [pa.array([int.from_bytes(c[:8], "little") % parts for c in classes] + ps, pa.int32()), pa.array([None] * m + blobs, pa.binary()), pa.concat_arrays([ids, pa.nulls(k, ids.type)]), pa.array(n_set + [None] * k, pa.int64()), pa.array(classes + [None] * k, pa.binary())]
             bits = np.array(sketches, np.int64).reshape(m, DENSE)
             cols += [pa.concat_arrays([pa.array(np.ascontiguousarray(bits[:, i])), pa.nulls(k, pa.int64())]) for i in range(DENSE)]
             yield pa.RecordBatch.from_arrays(cols, names=["p", "blob", "id", "n", "class", *SKETCH])
 
-    return src.mapInArrow(tidied(run), f"p int, blob binary, id {src.schema['__id'].dataType.simpleString()}, n long, class long, " + ", ".join(f"{x} long" for x in SKETCH))
+    return src.mapInArrow(tidied(run), f"p int, blob binary, id {src.schema['__id'].dataType.simpleString()}, n long, class binary, " + ", ".join(f"{x} long" for x in SKETCH))
 
 
 def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,15 +207,23 @@ def _meet(table: pa.Table) -> pa.Table:
     """One partition of fingerprints: pairs of small groups (kind 0) and members of hot ones (kind 1); documents pass (kind 2)."""
     blobs = table.column("blob")
     docs = table.filter(blobs.is_null())
-    head, count, keys = [np.empty((3, 0), np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    head, count, keys = [np.empty((4, 0), np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for blob in blobs.drop_null():
         raw = blob.as_buffer()
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        x = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n)
-        head.append(x[:3])
-        count.append(x[3])
-        keys.append(np.frombuffer(raw, np.uint64, offset=8 + 32 * n))
+        x = np.frombuffer(raw, np.int64, 5 * n, 8).reshape(5, n)
+        head.append(x[:4])
+        count.append(x[4])
+        keys.append(np.frombuffer(raw, np.uint64, offset=8 + 40 * n))
     head, key = np.concatenate(head, axis=1), np.concatenate(keys).view(np.int64)
+    # inside the partition a class is a small number: its place among the distinct ones
+    order = np.lexsort((head[1], head[0]))
+    name = head[:2, order]
+    step = np.ones(len(order), np.int64)
+    step[1:] = (name[:, 1:] != name[:, :-1]).any(axis=0)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(step) - 1
+    name = name[:, step == 1]
     entry = np.repeat(np.arange(head.shape[1]), np.concatenate(count))
     order = np.argsort(key, kind="stable")
     key, entry = key[order], entry[order]
@@ -221,7 +232,7 @@ def _meet(table: pa.Table) -> pa.Table:
     multi[1:] |= same
     multi[:-1] |= same
     key, entry = key[multi], entry[multi]
-    who = head[0][entry]
+    who = number[entry]
     order = np.lexsort((who, key))
     key, entry, who = key[order], entry[order], who[order]
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])]) if len(key) else np.empty(0, bool)
@@ -241,12 +252,19 @@ def _meet(table: pa.Table) -> pa.Table:
     n, h = len(a), int(hot.sum())
     m = docs.num_rows
     kind = docs.schema.field("id").type
+
+    def named(numbers: np.ndarray) -> pa.Array:
+        raw = np.ascontiguousarray(name[:, numbers].T).tobytes()
+        return pa.Array.from_buffers(pa.binary(16), len(numbers), [None, pa.py_buffer(raw)]).cast(pa.binary())
+
+    members = pa.chunked_array(docs.column("class").chunks, pa.binary()).combine_chunks()
     cols = {
         "kind": np.concatenate([np.zeros(n, np.int32), np.ones(h, np.int32), np.full(m, 2, np.int32)]),
         "key": np.concatenate([np.zeros(n, np.int64), key[hot], np.zeros(m, np.int64)]),
-        "a": np.concatenate([a, who[hot], docs.column("class").to_numpy()]),
-        "b": np.concatenate([b, head[2][entry[hot]], docs.column("n").to_numpy()]),
-        "band": np.concatenate([np.zeros(n, np.int32), head[1][entry[hot]].astype(np.int32), np.zeros(m, np.int32)]),
+        "a": pa.concat_arrays([named(np.concatenate([a, who[hot]])), members]),
+        "b": pa.concat_arrays([named(b), pa.nulls(h + m, pa.binary())]),
+        "n": np.concatenate([np.zeros(n, np.int64), head[3][entry[hot]], docs.column("n").to_numpy()]),
+        "band": np.concatenate([np.zeros(n, np.int32), head[2][entry[hot]].astype(np.int32), np.zeros(m, np.int32)]),
         "id": pa.concat_arrays([pa.nulls(n + h, kind), *docs.column("id").chunks]),
     }
     cols |= {x: pa.concat_arrays([pa.nulls(n + h, pa.int64()), *docs.column(x).chunks]) for x in SKETCH}
@@ -295,9 +313,9 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     if 100 * same >= HUNDREDTHS * (len(both) - same):
                         left.append(a)
                         right.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    return rows.mapInArrow(tidied(run), "a long, b long")
+    return rows.mapInArrow(tidied(run), "a binary, b binary")
 
 
 def _near(l: str, r: str) -> Column:
@@ -315,13 +333,15 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     label = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("comp")).select(F.col("a").alias("node"), "comp"))
     while True:
+        before = label
         near = both.join(label.select(F.col("node").alias("b"), F.col("comp").alias("near")), "b").groupBy("a").agg(F.min("near").alias("near"))
-        step = label.join(near, label.node == near.a).select("node", F.least("comp", "near").alias("low"), F.col("comp").alias("old"))
+        step = label.join(near, F.col("node") == F.col("a")).select("node", F.least("comp", "near").alias("low"), F.col("comp").alias("old"))
         jump = step.join(label.select(F.col("node").alias("low"), F.col("comp").alias("far")), "low").select("node", F.least("low", "far").alias("comp"), (F.least("low", "far") < F.col("old")).alias("moved"))
-        new = written(jump)
-        label = new.select("node", "comp")
-        if new.where("moved").isEmpty():
-            return label
+        label = written(jump)
+        discarded(before)
+        if label.where("moved").isEmpty():
+            discarded(both)
+            return label.select("node", "comp")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -332,12 +352,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     Other columns are not read.
     """
     spark = docs.sparkSession
-    parts = min(max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1 << 14)
-    met = _emit(docs, text, ident, parts)
-    met = written(met.groupBy("p").applyInArrow(_meet, f"kind int, key long, a long, b long, band int, id {met.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in SKETCH)))
+    src = docs.select(ident, text)
+    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(src) // PART)
+    met = _emit(src, text, ident, parts)
+    shape = f"kind int, key long, a binary, b binary, n long, band int, id {met.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in SKETCH)
+    met = written(met.groupBy("p").applyInArrow(_meet, shape))
     released(spark)
-    rows = met.where("kind = 2").select(F.col("id").alias("__id"), F.col("b").alias("n_shingles"), F.col("a").alias("class"))
-    hot = met.where("kind = 1").select("band", "key", F.col("a").alias("class"), F.col("b").alias("full"))
+    rows = met.where("kind = 2").select(F.col("id").alias("__id"), F.col("n").alias("n_shingles"), F.col("a").alias("class"))
+    hot = met.where("kind = 1").select("band", "key", F.col("a").alias("class"), F.col("n").alias("full"))
     limit = F.element_at(F.array(*[F.lit(most(k)) for k in range(len(EDGES) - 1)]), F.col("band") + 1)
     need = hot.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full")).where(F.col("full") - F.col("n") <= limit).select("band", "class", "n")
     hot = written(hot.join(need, ["band", "class"]).select("band", "key", "class", "n"))
@@ -346,7 +368,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     hot = hot.drop("n")
     star = hot.join(centre, ["band", "key"]).where("a != class").groupBy("a", F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("w"))
     pairs = met.where("kind = 0").select("a", "b", F.lit(0).cast("long").alias("w")).union(star).groupBy("a", "b").agg(F.max("w").alias("w"))
-    sketch = written(met.where("kind = 2 AND b > 0").select(F.col("a").alias("class"), F.col("b").alias("n_shingles"), *SKETCH).dropDuplicates(["class"]))
+    sketch = written(met.where("kind = 2 AND n > 0").select(F.col("a").alias("class"), F.col("n").alias("n_shingles"), *SKETCH).dropDuplicates(["class"]))
     pairs = pairs.join(sketch.alias("l"), F.col("a") == F.col("l.class")).join(sketch.alias("r"), F.col("b") == F.col("r.class")).where(_near("l", "r")).select("a", "b", "w")
     pairs = written(pairs)
     one = rows.where("n_shingles > 0").groupBy("class").agg(F.min("__id").alias("__want"))
@@ -371,8 +393,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
         meets = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & _near("l", "r")
         # merge joins: a small file may hold many rows, too many to broadcast
         rest = rest.withColumn("prior", F.lag("key").over(Window.partitionBy("band", "class").orderBy("key")))
-        full = rest.join(sketch.hint("merge"), "class")
-        l, r = full.alias("l"), full.alias("r").hint("merge")  # noqa: E741
+        # the members of a fingerprint are dealt to tasks of about SPREAD on the one side; the other side meets each of them
+        salts = rest.groupBy("band", "key").agg((F.lit(1) + F.floor(F.count(F.lit(1)) / SPREAD)).cast("int").alias("salts"))
+        full = rest.join(sketch.hint("merge"), "class").join(salts, ["band", "key"])
+        l = full.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).alias("l")  # noqa: E741
+        r = full.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).alias("r").hint("merge")
+        meets = meets & (F.col("l.salt") == F.col("r.salt"))
         # not again where the fingerprints before this one are shared too
         cond = meets & (F.col("l.class") < F.col("r.class")) & F.coalesce(F.col("l.prior") != F.col("r.prior"), F.lit(True))
         more = written(l.join(r, cond).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct())
