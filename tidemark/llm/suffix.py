@@ -12,7 +12,8 @@ their anchor at the same place.  Only suffixes at anchors are sorted:
 3. A loser tree merges the runs of a partition.  It keeps for every run the prefix length its head
    shares with the last winner, so no comparison looks at bytes that are known to be equal, and the
    merge yields the suffix array with its array of longest common prefixes.
-4. Left contexts, reversed, are sorted the same way.  A window at distance p after its start from
+4. Left contexts, reversed, are sorted the same way: every batch sends them as a second front-coded run
+   with their places in the first, and a second loser tree merges those.  A window at distance p after its start from
    the anchor repeats iff another anchor is in the same class of right contexts at depth SPAN - p
    and of left contexts at depth p; classes follow from the prefix arrays by running counts.
 
@@ -23,6 +24,7 @@ passage in a third of all documents does not multiply in the merge.
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, written
+from .common import discarded, released, written
 
 SPAN = 200
 CORE = 32
@@ -230,8 +232,10 @@ def repeated(right_lcp: np.ndarray, left_rank: np.ndarray, left_lcp: np.ndarray,
 #: A core with more anchors than this is dealt by longer strings; windows start at most HALF before their
 #: anchor in the one kind of share, and more in the other.
 HOT, HALF = 2000, ROOM // 2
-#: Bytes of text handled together.
-CHUNK = 1 << 20
+#: Bytes of text handled together, and bytes of suffixes that one partition takes, at about SUFFIX bytes each.
+CHUNK, PART, SUFFIX = 1 << 20, 1 << 26, 400
+#: At most so many cores are looked up by broadcast; the threshold rises with the anchors, so there cannot be more.
+HEAVY = 1 << 16
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +267,7 @@ def _runs(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[dict] = [{} for _ in range(parts)]
+            found: dict[int, dict] = defaultdict(dict)
             for uid, text, spots in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = (text.as_py() or "").encode()
                 spot = spots.values.to_numpy()
@@ -280,73 +284,71 @@ def _runs(parts: int):
                     if hi > HALF:
                         put(found[xxhash.xxh3_64_intdigest(raw[a - HALF - 1 : a + CORE]) % parts], uid, raw, a, max(lo, HALF + 1), hi)
             ps, blobs = [], []
-            for p, own in enumerate(found):
-                if own:
-                    keys = sorted(own)
-                    shared, size, rest = front_code([k[0] for k in keys])
-                    lefts = b"".join(k[1] for k in keys)
-                    owners = np.array([o for k in keys for o in own[k]], np.int64)
-                    head = np.array([len(keys), len(owners), len(rest)], np.int64)
-                    bounds = np.array([[k[2], k[3]] for k in keys], np.uint8)
-                    count = np.array([len(own[k]) for k in keys], np.int32)
-                    ps.append(p)
-                    blobs.append(head.tobytes() + owners.tobytes() + count.tobytes() + shared.tobytes() + size.tobytes() + bounds.tobytes() + rest + lefts)
+            for p, own in found.items():
+                keys = sorted(own)
+                lefts = [k[1] for k in keys]
+                turn = sorted(range(len(keys)), key=lefts.__getitem__)
+                owners = np.array([o for k in keys for o in own[k]], np.int64)
+                bounds = np.array([[k[2], k[3]] for k in keys], np.uint8)
+                count = np.array([len(own[k]) for k in keys], np.int32)
+                parts_of = [owners, count, *front_code([k[0] for k in keys]), bounds, np.array(turn, np.int32), *front_code([lefts[i] for i in turn])]
+                raw = [x if isinstance(x, bytes) else x.tobytes() for x in parts_of]
+                ps.append(p)
+                blobs.append(np.array([len(keys), *map(len, raw)], np.int64).tobytes() + b"".join(raw))
             yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary())], names=["p", "run"])
 
     return run
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    """One partition's runs -> (uid, start, stop): the bytes that repeated windows cover."""
-    runs, meta = [], []
-    for blob in table.column("run"):
-        raw = blob.as_py()
-        n, m, r = np.frombuffer(raw, np.int64, 3).tolist()
-        at = 24
-        owners = np.frombuffer(raw, np.int64, 2 * m, at).reshape(m, 2)
-        at += 16 * m
-        count = np.frombuffer(raw, np.int32, n, at)
-        at += 4 * n
-        shared, size = np.frombuffer(raw, np.int16, n, at), np.frombuffer(raw, np.int16, n, at + 2 * n)
-        at += 4 * n
-        bounds = np.frombuffer(raw, np.uint8, 2 * n, at).reshape(n, 2)
-        at += 2 * n
-        runs.append(front_decode(shared, size, raw[at : at + r]))
-        lefts = at + r + np.concatenate([[0], np.cumsum(bounds[:, 1].astype(np.int64))])
-        meta.append((raw, lefts.tolist(), bounds, owners, count))
-    order, lcp = [], []
+#: The pieces of a run: owners, owners of each entry, right contexts, bounds, order of the left contexts, left contexts.
+KINDS = (np.int64, np.int32, np.int16, np.int16, None, np.uint8, np.int32, np.int16, np.int16, None)
+
+
+def _pieces(raw: bytes) -> list:
+    size = np.frombuffer(raw, np.int64, 1 + len(KINDS))[1:].tolist()
+    at, out = 8 * (1 + len(KINDS)), []
+    for n, kind in zip(size, KINDS, strict=True):
+        out.append(raw[at : at + n] if kind is None else np.frombuffer(raw, kind, n // np.dtype(kind).itemsize, at))
+        at += n
+    return out
+
+
+def _merged(runs: list[Iterator[tuple[bytes, int]]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(places of each run's entries in the merged order, run of each place, prefix shared with the place before)."""
+    run, lcp = [], []
     for i, _, k in LoserTree(runs):
-        order.append(i)
+        run.append(i)
         lcp.append(k)
-    n = len(order)
-    run_of = np.array(order, np.int64)
-    # the merge takes each run in order, so an entry's place in its run is a running count
-    inside = np.empty(n, np.int64)
-    for i in range(len(meta)):
-        own = np.flatnonzero(run_of == i)
-        inside[own] = np.arange(len(own))
+    run_of = np.array(run, np.int64)
+    # the merge takes each run in order, so its places in order are those of its entries
+    by_run = np.argsort(run_of, kind="stable")
+    return np.split(by_run, np.searchsorted(run_of[by_run], np.arange(1, max(len(runs), 1)))), run_of, np.array(lcp, np.int64)
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """One partition's runs -> (uid, start, stop): the bytes that repeated windows cover."""
+    meta = [_pieces(blob.as_py()) for blob in table.column("run")]
+    places, run_of, lcp = _merged([front_decode(*x[2:5]) for x in meta])
+    left_places, _, left_lcp = _merged([front_decode(*x[7:10]) for x in meta])
+    n = len(run_of)
+    inside, rank = np.empty(n, np.int64), np.empty(n, np.int64)
     bounds, weight = np.empty((n, 2), np.int64), np.empty(n, np.int64)
-    lefts: list[bytes] = [b""] * n
-    for i, (raw, cut, bound, _, count) in enumerate(meta):
-        own = np.flatnonzero(run_of == i)
-        bounds[own], weight[own] = bound[inside[own]], count[inside[own]]
-        for k, j in zip(own.tolist(), inside[own].tolist(), strict=True):
-            lefts[k] = raw[cut[j] : cut[j + 1]]
-    by_left = sorted(range(n), key=lefts.__getitem__)
-    rank = np.empty(n, np.int64)
-    rank[by_left] = np.arange(n)
-    left_lcp = np.zeros(n, np.int64)
-    for k in range(1, n):
-        left_lcp[k] = common(lefts[by_left[k - 1]], lefts[by_left[k]], 0)
+    for (_, count, _, _, _, bound, turn, _, _, _), own, left in zip(meta, places, left_places, strict=False):
+        inside[own] = np.arange(len(own))
+        bounds[own], weight[own] = bound.reshape(-1, 2), count
+        rank[own[turn]] = left
     uid, start, stop = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     if n:
         bits = np.zeros((n, ROOM + 3), np.int8)
-        bits[:, 1:-1] = repeated(np.array(lcp, np.int64), rank, left_lcp, bounds[:, 0], bounds[:, 1], weight)
+        bits[:, 1:-1] = repeated(lcp, rank, left_lcp, bounds[:, 0], bounds[:, 1], weight)
         edge = np.diff(bits, axis=1)
         row, low = np.nonzero(edge == 1)
         _, high = np.nonzero(edge == -1)
-        for i, (_, _, _, owners, count) in enumerate(meta):
-            own = np.flatnonzero(run_of[row] == i)
+        order = np.argsort(run_of[row], kind="stable")
+        cuts = np.searchsorted(run_of[row][order], np.arange(len(meta) + 1))
+        for i, (owners, count, *_) in enumerate(meta):
+            own = order[cuts[i] : cuts[i + 1]]
+            owners = owners.reshape(-1, 2)
             entry = inside[row[own]]
             first = np.concatenate([[0], np.cumsum(count)[:-1]])
             times = count[entry].astype(np.int64)
@@ -378,14 +380,21 @@ def dedup(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id
     the same partitions each time it is read, as a Parquet table does.
     """
     spark = docs.sparkSession
-    parts = min(max(12, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1 << 12)
     named = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(carry)], F.col(text).alias("text")).withColumn("uid", F.monotonically_increasing_id())
     plain = named.select("uid", "text")
     found = written(plain.mapInArrow(_find, "core long, uid long, spot long"))
-    twice = found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # cores of very many anchors meet them by broadcast, so they are not gathered in one task; n anchors have fewer than n / (n / HEAVY) of them
+    many = max(HOT, found.count() // HEAVY)
+    twice = written(found.groupBy("core").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    heavy = F.broadcast(twice.where(F.col("n") > many))
+    met = found.join(heavy.select("core"), "core", "left_anti").join(twice.where(F.col("n") <= many), "core").unionByName(found.join(heavy, "core"))
     hot = F.when(F.col("n") > HOT, F.col("spot").bitwiseOR(1 << 16)).otherwise(F.col("spot"))
-    spots = written(found.join(twice, "core").groupBy("uid").agg(F.sort_array(F.collect_list(hot)).alias("spots")))
+    spots = written(met.groupBy("uid").agg(F.sort_array(F.collect_list(hot)).alias("spots")))
+    discarded(found, twice)
     released(spark)
+    # partitions grow with what there is to sort
+    anchors = spots.agg(F.sum(F.size("spots")).alias("n")).first().n or 0
+    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), anchors * SUFFIX // PART)
     runs = plain.join(spots.hint("shuffle_hash"), "uid").select("uid", "text", "spots").mapInArrow(_runs(parts), "p int, run binary")
     covered = written(runs.groupBy("p").applyInArrow(_merge, "uid long, start long, stop long"))
     released(spark)
