@@ -1,9 +1,9 @@
 """Preference formatting: paired completions behind one shared prompt.
 
 The longest common turn prefix of a chosen and a rejected conversation is found by comparing
-turns position by position (an equi-join, so long conversations are never gathered for it),
-rendered once as the prompt, and the turns after it become two completions with masks over
-what the assistant said.
+256-bit hashes of the turns position by position, rendered once as the prompt, and the turns
+after it become two completions with masks over what the assistant said.  Texts are dealt by
+pair once; every later step is a window or an aggregate inside those partitions.
 """
 
 from __future__ import annotations
@@ -36,12 +36,14 @@ def preference_pairs(conversations: DataFrame, pairs: DataFrame, conv: str = "co
     """
     sides = pairs.select("pair_id", F.lit(0).alias("side"), F.col("chosen_id").alias("c")).union(pairs.select("pair_id", F.lit(1), F.col("rejected_id"))).where("c IS NOT NULL")
     turns = conversations.select(F.col(conv).alias("c"), F.col(turn).alias("t"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = sides.join(turns, "c").withColumn("i", F.row_number().over(Window.partitionBy("pair_id", "side").orderBy("t", "role", "text")))
-    same = F.max("side") - F.min("side") + F.lit(0)
-    place = rows.groupBy("pair_id", "i").agg(same.alias("both"), F.min("role").alias("r0"), F.max("role").alias("r1"), F.min("text").alias("t0"), F.max("text").alias("t1"))
-    differs = (F.col("both") == 0) | (F.col("r0") != F.col("r1")) | (F.col("t0") != F.col("t1"))
-    common = place.groupBy("pair_id").agg(F.min(F.when(differs, F.col("i"))).alias("first"), F.max("i").alias("last")).select("pair_id", F.coalesce(F.col("first") - 1, F.col("last")).alias("n_common"))
-    rows = rows.join(common, "pair_id").withColumn("piece", _rendered(F.col("role"), F.col("text")))
+    rows = sides.join(turns, "c").repartition("pair_id")
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy("pair_id", "side").orderBy("t", "role", "text")))
+    rows = rows.withColumn("h", F.unhex(F.sha2(F.concat_ws("\0", "role", "text"), 256)))
+    place, pair = Window.partitionBy("pair_id", "i"), Window.partitionBy("pair_id")
+    same = (F.min("side").over(place) != F.max("side").over(place)) & (F.min("h").over(place) == F.max("h").over(place))
+    rows = rows.withColumn("same", same).drop("h")
+    rows = rows.withColumn("n_common", F.coalesce(F.min(F.when(~F.col("same"), F.col("i"))).over(pair) - 1, F.max("i").over(pair)))
+    rows = rows.withColumn("piece", _rendered(F.col("role"), F.col("text")))
     key = F.when(F.col("i") <= F.col("n_common"), F.lit(-1)).otherwise(F.col("side"))
     # the prefix is rendered once, from the chosen side
     rows = rows.withColumn("part", key).where("part >= 0 OR side = 0")
