@@ -4,9 +4,12 @@ Coding: 8-bit mono blocks of 576 samples; each frame takes the fixed linear pred
 (order 0 to 2) and Rice parameter with the fewest bits, or is stored verbatim.  Decoding:
 Rice residuals of all frames advance together, one sample a step; predictors are undone by
 cumulative sums; header CRC-8 and frame CRC-16 are verified over all frames at once, and
-the stream's MD5 at the end.  A general scalar decoder handles the remaining subframe
-kinds (constant, LPC, escaped partitions, any block size up to 16 bits and 8 channels
-without decorrelation), so streams of other coders with these features decode too.
+the stream's MD5 at the end.  A general scalar decoder handles streams of other coders:
+constant, verbatim, fixed and LPC subframes, wasted bits, escaped partitions, any block
+size, 4 to 32 bits a sample, up to 8 channels with or without stereo decorrelation.
+
+``pcm_blocks`` writes what is decoded as PCM blocks, each with its first sample and its
+offset in bytes, so that a reader goes to a sample without what is before it.
 """
 
 from __future__ import annotations
@@ -385,10 +388,8 @@ def _subframe(bits: Bits, block: int, depth: int) -> list[int]:
     return [v << wasted for v in out] if wasted else out
 
 
-def scalar_decode(stream: bytes) -> bytes:
-    """One sample at a time: any subframe kind, independent channels; samples back as bytes (plus 128) for 8 bits."""
-    info, _, at = metadata(stream)
-    chans: list[list[int]] = [[] for _ in range(info["channels"])]
+def scalar_frames(stream: bytes, at: int, info: dict) -> Iterator[tuple[int, list[list[int]]]]:
+    """(offset after the frame, samples of each channel) of the frames from an offset on, one sample at a time; checksums are verified."""
     while at < len(stream):
         bits = Bits(stream, at)
         if bits.take(15) != 0x7FFC:
@@ -400,36 +401,69 @@ def scalar_decode(stream: bytes) -> bytes:
         while lead & 0x80 and lead & 0x40:
             bits.take(8)
             lead = lead << 1 & 0xFF
+        if not size or layout > 10 or depth == 3:
+            raise Corrupt("reserved header value")
         block = 192 if size == 1 else 576 << size - 2 if size <= 5 else bits.take(8) + 1 if size == 6 else bits.take(16) + 1 if size == 7 else 256 << size - 8
         if rate >= 12:
             bits.take(8 if rate == 12 else 16)
         if crc8(stream[at : bits.pos // 8]) != bits.take(8):
             raise Corrupt("header checksum")
-        depth = {0: info["bits"], 1: 8, 2: 12, 4: 16, 5: 20, 6: 24}[depth]
-        if layout > 7:
-            raise Corrupt("decorrelated channels are not supported")
-        for c in range(layout + 1):
-            chans[c] += _subframe(bits, block, depth)
+        depth = info["bits"] if not depth else (8, 12, None, 16, 20, 24, 32)[depth - 1]
+        # the side channel of a decorrelated pair has one bit more
+        side = {8: 1, 9: 0, 10: 1}.get(layout)
+        chans = [_subframe(bits, block, depth + (c == side)) for c in range(2 if side is not None else layout + 1)]
+        if layout == 8:
+            chans[1] = [a - d for a, d in zip(*chans, strict=True)]
+        elif layout == 9:
+            chans[0] = [d + b for d, b in zip(*chans, strict=True)]
+        elif layout == 10:
+            mids = [m << 1 | d & 1 for m, d in zip(*chans, strict=True)]
+            chans = [[(m + d) >> 1 for m, d in zip(mids, chans[1], strict=True)], [(m - d) >> 1 for m, d in zip(mids, chans[1], strict=True)]]
         end = (bits.pos + 7) // 8
         body = np.frombuffer(stream[at:end], np.uint8)
         if int(crc16_rows(body, np.array([0]), np.array([len(body)]))[0]) != int.from_bytes(stream[end : end + 2], "big"):
             raise Corrupt("frame checksum")
         at = end + 2
-    if info["bits"] != 8:
-        raise Corrupt("only 8-bit samples become bytes")
-    data = np.array(chans, np.int64).T.ravel().astype(np.int8).tobytes()
+        yield at, chans
+
+
+def pcm(chans: list[list[int]], bits: int) -> bytes:
+    """Interleaved signed little-endian samples, in whole bytes."""
+    width = (bits + 7) // 8
+    flat = np.array(chans, np.int64).T.ravel()
+    return flat.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def decoded(stream: bytes) -> tuple[dict, bytes]:
+    """(information, PCM) of any stream; the MD5 is verified if the stream states one."""
+    info, _, at = metadata(stream)
+    data = b"".join(pcm(chans, info["bits"]) for _, chans in scalar_frames(stream, at, info))
     if info["md5"] != bytes(16) and hashlib.md5(data).digest() != info["md5"]:
         raise Corrupt("stream MD5")
+    return info, data
+
+
+def scalar_decode(stream: bytes) -> bytes:
+    """The payload of an 8-bit stream: its samples as bytes (plus 128)."""
+    info, data = decoded(stream)
+    if info["bits"] != 8:
+        raise Corrupt("only 8-bit samples become bytes")
     return (np.frombuffer(data, np.uint8) ^ np.uint8(128)).tobytes()
 
 
-def read_from(stream: bytes, sample: int) -> bytes:
-    """The payload's samples from a sample number on, entered through the seek table."""
+def read_from(stream: bytes, sample: int, count: int | None = None) -> bytes:
+    """PCM from a sample on, ``count`` samples or all; entered through the seek table and left as soon as they are there."""
     info, seek, first = metadata(stream)
-    point = max((p for p in seek if p[0] <= sample), default=(0, 0, 0))
-    rest = stream[first + point[1] :]
-    part = MAGIC + b"\x80" + (34).to_bytes(3, "big") + struct.pack(">HH", *info["block"]) + bytes(6) + (info["rate"] << 44 | (info["channels"] - 1) << 41 | (info["bits"] - 1) << 36 | info["samples"] - point[0]).to_bytes(8, "big") + bytes(16)
-    return scalar_decode(part + rest)[sample - point[0] :]
+    at, offset, _ = max((p for p in seek if p[0] <= sample), default=(0, 0, 0))
+    frame = info["channels"] * ((info["bits"] + 7) // 8)
+    stop = None if count is None else (sample + count - at) * frame
+    out, held = [], 0
+    for _, chans in scalar_frames(stream, first + offset, info):
+        out.append(pcm(chans, info["bits"]))
+        held += len(out[-1])
+        if stop is not None and held >= stop:
+            break
+    return b"".join(out)[(sample - at) * frame : stop]
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -444,8 +478,41 @@ def features(samples: np.ndarray) -> str:
     return f"{int(np.abs(x).max())}:{int((x * x).sum() // len(x))}:{crossings}"
 
 
-#: Bytes of payload handled together.
-GROUP = 1 << 21
+#: Bytes of payload handled together, and samples of a PCM block: as many as lie between two points of the seek table.
+GROUP, SAMPLES = 1 << 21, 64 * BLOCK
+
+
+def pcm_blocks(media: DataFrame, stream: str = "media", carry: tuple[str, ...] = ("doc_id",), samples: int = SAMPLES) -> DataFrame:
+    """Streams decoded into PCM blocks: carry columns, first_sample, n_samples, byte_offset, pcm.
+
+    Every block but the last holds ``samples`` samples of all channels, interleaved, signed, little-endian;
+    byte_offset is where it stands in the whole stream's PCM, so a reader goes to a sample by one comparison.
+    Checksums and the MD5 are verified; a damaged stream fails the job.  Null streams have no blocks; rows
+    repeat as they come.
+    """
+    src = media.select(*carry, media[stream].alias("__stream"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.select(*carry).schema) + ", first_sample long, n_samples long, byte_offset long, pcm binary"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, value in enumerate(batch.column(len(carry))):
+                raw = value.as_py()
+                if raw is None:
+                    continue
+                info, _, _ = metadata(raw)
+                if info["bits"] == 8 and info["channels"] == 1 and info["block"] == (BLOCK, BLOCK):
+                    data = (np.frombuffer(decode_streams([raw])[0], np.uint8) ^ np.uint8(128)).tobytes()
+                else:
+                    data = decoded(raw)[1]
+                frame = info["channels"] * ((info["bits"] + 7) // 8)
+                cuts = list(range(0, len(data), samples * frame))
+                parts = [data[c : c + samples * frame] for c in cuts]
+                own = pa.array(np.full(len(cuts), row))
+                same = [batch.column(i).take(own) for i in range(len(carry))]
+                cols = [pa.array([c // frame for c in cuts], pa.int64()), pa.array([len(p) // frame for p in parts], pa.int64()), pa.array(cuts, pa.int64()), pa.array(parts, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*same, *cols], names=[*carry, "first_sample", "n_samples", "byte_offset", "pcm"])
+
+    return src.mapInArrow(run, schema)
 
 
 def media(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",), stored: bool = False) -> DataFrame:
