@@ -1,12 +1,15 @@
 """Main-text extraction: gradient-boosted trees over DOM-node features, decoded over the tree.
 
 A page is parsed into block nodes.  Each has features of its subtree (text, link and tag
-density, punctuation), its attribute tokens, its depth and its siblings.  Boosted trees give
+density, punctuation, label words of short blocks), its attribute tokens, its depth and its
+siblings (how many, where among them, how many with the same tag and attributes).  Boosted trees give
 each node the log-odds of belonging to the article.  Decoding maximises the total over
 choices in which a dropped node drops its whole subtree, so no kept node stands below a
 dropped one.  The trees are fitted on a bounded sample of pages (``SAMPLE`` rows, the smallest
-page ids): their semantic article regions label their nodes, and the same texts are dealt
-into layouts with headers, sidebars, notices, adverts, forms and comments whose labels are known.
+page ids): their semantic article regions label their nodes, but for what their attributes
+mark as comments, forms or adverts inside them, and the same texts are dealt into layouts
+(tables among them) with headers, sidebars, notices, adverts, forms and comments, named and
+unnamed, whose labels are known.
 """
 
 from __future__ import annotations
@@ -47,6 +50,15 @@ GROUPS = (
     ("foot", "copyright", "legal"), ("side", "widget", "related", "recommend", "popular"), ("ad", "ads", "advert", "sponsor", "promo", "banner"), ("cookie", "consent", "notice", "gdpr", "alert", "popup", "modal"),
     ("comment", "reply", "replies", "disqus", "respond", "discussion"), ("form", "subscribe", "newsletter", "signup", "search", "login"), ("share", "social", "follow", "tag", "meta", "author", "byline"),
 )
+#: Groups whose nodes inside an article region are no main text: notices, comments, forms, sharing.
+NEVER = 1 << 6 | 1 << 7 | 1 << 8 | 1 << 9
+#: Words that label boilerplate, looked for in blocks of at most SHORT characters.
+CUES = (
+    r"comments?|repl(?:y|ies)|says|wrote|posted by|ago|kommentare?|antworten|schrieb|vor \d+|commentaires?|répondre|a écrit|il y a|comentarios?|responder|dijo|hace \d+", r"cookies?|consent|accept(?:er)?|privacy|datenschutz|zustimmen|aceptar|einverstanden",
+    r"newsletter|subscribe|sign ?up|log ?in|anmelden|abonnieren|abonnez|suscríbete|e-?mail|search|suche", r"share|tweet|teilen|partager|compartir|follow us|folgen", r"copyright|all rights|rechte vorbehalten|droits réservés|derechos reservados|impressum",
+    r"related|read more|recommended|trending|popular|mehr zum thema|lire aussi|te puede|advertisement|sponsored|anzeige|publicité|publicidad|more from",
+)
+CUE, SHORT = re.compile("|".join(rf"\b({c})\b" for c in CUES)), 80
 EXACT = frozenset(("ad", "ads", "side", "tag", "nav", "head", "foot", "form", "text"))
 
 
@@ -113,16 +125,21 @@ def visible(source: str) -> Iterator[tuple[int, int, re.Match[str] | None]]:
 
 
 class Page:
-    """Block nodes in page order, and the pieces of text with the node that owns each block."""
+    """Block nodes in page order, and the pieces of text with the node that owns each block.
 
-    __slots__ = ("blocks", "depth", "flags", "link", "owner", "parent", "punct", "size", "tag", "words")
+    Open tags are kept with the places of each name, so no step looks through all of them.
+    """
+
+    __slots__ = ("blocks", "cues", "depth", "flags", "kin", "link", "owner", "parent", "punct", "size", "tag", "words")
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.depth, self.flags = [len(TAGS)], [-1], [0], [0]
+        self.tag, self.parent, self.depth, self.flags, self.cues, self.kin = [len(TAGS)], [-1], [0], [0], [0], [0]
         self.size, self.link, self.words, self.punct = [0], [0], [0], [0]
         self.owner: list[int] = []
         self.blocks: list[str] = []
-        open_tags, open_nodes, links = ["#"], [0], 0
+        open_tags, open_nodes, open_blocks, links = ["#"], [0], ["#"], 0
+        places: dict[str, list[int]] = {}
+        kinds: dict[str, int] = {}
         piece: list[str] = []
         linked, at = 0, 0
 
@@ -139,15 +156,26 @@ class Page:
                     self.link[node] += min(linked, len(text))
                     self.words[node] += text.count(" ") + 1
                     self.punct[node] += text.count(".") + text.count(",") + text.count("!") + text.count("?")
+                    if len(text) <= SHORT:
+                        for m in CUE.finditer(text.lower()):
+                            self.cues[node] |= 1 << m.lastindex - 1
+                        if "©" in text:
+                            self.cues[node] |= 1 << 4
             linked = 0
 
-        def pop() -> None:
+        def pop() -> str:
             nonlocal links
             t = open_tags.pop()
+            places[t].pop()
             if t == "a":
                 links -= 1
             elif t not in INLINE:
                 open_nodes.pop()
+                open_blocks.pop()
+            return t
+
+        def last(names: set[str]) -> int:
+            return max((places[n][-1] for n in names if places.get(n)), default=0)
 
         for start, end, m in visible(source):
             if start > at:
@@ -161,7 +189,7 @@ class Page:
                 continue
             name = name.lower()
             if m[2]:  # an end tag closes up to its own start, and nothing if that is not open
-                if name in open_tags:
+                if places.get(name):
                     if name not in INLINE:
                         flush()
                     while open_tags[-1] != name:
@@ -177,32 +205,29 @@ class Page:
                     flush()
                 continue
             if name in INLINE:
+                places.setdefault(name, []).append(len(open_tags))
                 open_tags.append(name)
                 links += name == "a"
                 continue
             flush()
-            if name in CLOSE_P and "p" in open_tags:
-                k = len(open_tags) - 1 - open_tags[::-1].index("p")
-                if all(t in INLINE for t in open_tags[k + 1 :]):
-                    while len(open_tags) > k:
-                        pop()
-            if name in CLOSES:
-                for k in range(len(open_tags) - 1, 0, -1):
-                    if open_tags[k] in CLOSES[name]:
-                        while len(open_tags) > k:
-                            pop()
-                        break
-                    if open_tags[k] in SCOPE[name]:
-                        break
+            if name in CLOSE_P and open_blocks[-1] == "p":
+                while pop() != "p":
+                    pass
+            if name in CLOSES and (k := last(CLOSES[name])) > last(SCOPE[name]):
+                while len(open_tags) > k:
+                    pop()
             parent = open_nodes[-1]
             self.tag.append(TAG_ID.get(name, len(TAGS)))
             self.parent.append(parent)
             self.depth.append(self.depth[parent] + 1)
             self.flags.append(groups_of(m[4]) if m[4] and "=" in m[4] else 0)
-            for field in (self.size, self.link, self.words, self.punct):
+            self.kin.append(kinds.setdefault(name + " " + " ".join(ATTRIBUTE.findall(m[4])), len(kinds)))
+            for field in (self.size, self.link, self.words, self.punct, self.cues):
                 field.append(0)
+            places.setdefault(name, []).append(len(open_tags))
             open_tags.append(name)
             open_nodes.append(len(self.tag) - 1)
+            open_blocks.append(name)
         if at < len(source):
             piece.append(source[at:])
         flush()
@@ -213,18 +238,19 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     count = np.array([len(p.tag) for p in pages])
     base = np.repeat(np.cumsum(count) - count, count)
     get = lambda name: np.array([x for p in pages for x in getattr(p, name)], np.int64)
-    tag, depth, flags = get("tag"), get("depth"), get("flags")
+    tag, depth, flags, cues = get("tag"), get("depth"), get("flags"), get("cues")
     parent = get("parent")
     parent = np.where(parent < 0, -1, parent + base)
     own = np.stack([get("size"), get("link"), get("words"), get("punct"), np.ones(len(tag), np.int64), (tag == TAG_ID["p"]).astype(np.int64), (tag == TAG_ID["li"]).astype(np.int64)], axis=1).astype(float)
     total = own.copy()
-    above = flags.copy()
+    above, below = flags.copy(), cues.copy()
     tags_above = np.left_shift(np.int64(1), tag)
     order = np.argsort(depth, kind="stable")
     cuts = np.searchsorted(depth[order], np.arange(depth.max() + 2))
     for d in range(int(depth.max()), 0, -1):
         level = order[cuts[d] : cuts[d + 1]]
         np.add.at(total, parent[level], total[level])
+        np.bitwise_or.at(below, parent[level], below[level])
     for d in range(1, int(depth.max()) + 1):
         level = order[cuts[d] : cuts[d + 1]]
         above[level] |= above[parent[level]]
@@ -232,6 +258,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     up = np.maximum(parent, 0)
     siblings = np.bincount(up, minlength=len(tag))[up].astype(float)
     n = np.arange(len(tag))
+    _, same, times = np.unique(up * (int(get("kin").max()) + 1) + get("kin"), return_inverse=True, return_counts=True)
     first = np.full(len(tag), len(tag))
     np.minimum.at(first, up, n)
     last = np.zeros(len(tag), np.int64)
@@ -240,8 +267,8 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     page_size = np.maximum(total[roots, 0], 1)[np.repeat(np.arange(len(pages)), count)]
     size = np.maximum(total[:, 0], 1)
     cols = [total[:, 0], own[:, 0], total[:, 1] / size, own[:, 1] / np.maximum(own[:, 0], 1), total[:, 2] / total[:, 4], total[:, 0] / total[:, 4], total[:, 3] / np.maximum(total[:, 2], 1), total[:, 5], total[:, 6] / total[:, 4],
-            depth, siblings, (n - first[up]) / np.maximum(last[up] - first[up], 1), total[:, 0] / np.maximum(total[up, 0], 1), total[:, 0] / page_size, total[up, 0] / np.maximum(siblings, 1), total[up, 1] / np.maximum(total[up, 0], 1)]
-    for bits, width in ((flags, len(GROUPS)), (above, len(GROUPS)), (tags_above, len(TAGS))):
+            depth, siblings, (n - first[up]) / np.maximum(last[up] - first[up], 1), total[:, 0] / np.maximum(total[up, 0], 1), total[:, 0] / page_size, total[up, 0] / np.maximum(siblings, 1), total[up, 1] / np.maximum(total[up, 0], 1), times[same]]
+    for bits, width in ((cues, len(CUES)), (below, len(CUES)), (flags, len(GROUPS)), (above, len(GROUPS)), (tags_above, len(TAGS))):
         cols += [(bits >> g) & 1 for g in range(width)]
     cols += [(tag == t) for t in range(len(TAGS))]
     return np.stack([np.asarray(c, np.float32) for c in cols], axis=1), parent, depth
@@ -262,14 +289,23 @@ class Boosted:
             g, h = (p - y) * weight, np.maximum(p * (1 - p), 1e-6) * weight
             leaf = np.zeros(len(y), np.int64)
             feature, cut = np.full(2**DEPTH - 1, -1), np.zeros(2**DEPTH - 1, np.float32)
+            sums: dict[int, np.ndarray] = {}
             for level in range(DEPTH):
+                members = np.bincount(leaf, minlength=2**level)
+                # of two sisters only the smaller is summed up; the other one is what is left of their parent
+                for k in sorted(range(2**level), key=lambda k: members[k]):
+                    here, sister, above = 2**level - 1 + k, 2**level - 1 + (k ^ 1), (2**level - 2 + k) // 2
+                    if level and sister in sums:
+                        sums[here] = sums[above] - sums[sister]
+                    else:
+                        rows = np.flatnonzero(leaf == k)
+                        width = x.shape[1] * n_bins
+                        flat = offset[rows].ravel()
+                        sums[here] = np.stack([np.bincount(flat, np.repeat(v[rows], x.shape[1]), width).reshape(-1, n_bins) for v in (g, h)])
                 for k in range(2**level):
-                    rows = np.flatnonzero(leaf == k)
-                    if len(rows) < 8:
+                    if members[k] < 8:
                         continue
-                    width = x.shape[1] * n_bins
-                    gs = np.bincount(offset[rows].ravel(), np.repeat(g[rows], x.shape[1]), width).reshape(-1, n_bins).cumsum(axis=1)
-                    hs = np.bincount(offset[rows].ravel(), np.repeat(h[rows], x.shape[1]), width).reshape(-1, n_bins).cumsum(axis=1)
+                    gs, hs = sums[2**level - 1 + k].cumsum(axis=2)
                     gt, ht = gs[0, -1], hs[0, -1]
                     gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)
                     for j, e in enumerate(self.edges):
@@ -336,7 +372,6 @@ def extract(pages: list[str], model: Boosted) -> list[str]:
     return out
 
 
-REGION = re.compile(r"<(article|main)\b", re.I)
 #: Where boilerplate stands in the dealt layouts: tags and attribute values.
 BEFORE = (("header", "site-header"), ("div", "header masthead"), ("nav", "main-nav"), ("div", "nav menu topbar"), ("div", "ad"), ("div", "cookie-consent notice"), ("div", "alert notice"), ("form", "search"), ("aside", "sidebar"), ("div", "breadcrumbs"))
 AFTER = (("aside", "sidebar widget"), ("div", "related posts"), ("section", "comments"), ("div", "comment-list"), ("div", "sponsor advert"), ("form", "newsletter subscribe"), ("div", "share social"), ("footer", "site-footer"), ("div", "footer legal"), ("div", "promo banner"))
@@ -344,38 +379,76 @@ WITHIN = (("div", "ad"), ("aside", "related"), ("div", "share-buttons"), ("form"
 AROUND = (("article", ""), ("main", ""), ("div", "content"), ("div", "post-content"), ("div", "entry-content article-body"), ("section", "story"), ("article", "post"))
 
 
+#: What stands in front of boilerplate of a kind, by language.
+LABELS = {
+    "comments": ("Comments ({n})", "{n} comments", "Kommentare ({n})", "{n} commentaires", "Comentarios ({n})", "Leave a reply"), "notice": ("We use cookies.", "Accept cookies", "Wir verwenden Cookies", "Accepter les cookies", "Aceptar cookies"),
+    "offer": ("Subscribe to our newsletter", "Newsletter", "Sign up", "Jetzt anmelden", "Abonnez-vous", "Suscríbete"), "share": ("Share", "Share this", "Teilen", "Partager", "Compartir"), "rights": ("© {n} All rights reserved", "Copyright {n}", "Impressum"),
+    "more": ("Related", "Read more", "Advertisement", "Anzeige", "Publicité", "Publicidad", "Mehr zum Thema", "Lire aussi", "Sponsored"),
+}
+STAMPS = ("{n} days ago", "{n} hours ago", "vor {n} Tagen", "il y a {n} heures", "hace {n} días", "says:", "wrote:", "2021-03-{n}")
+ANSWERS = ("Reply", "Antworten", "Répondre", "Responder")
+
+
 def layouts(texts: list[list[str]], seed: int) -> tuple[list[str], list[set[str]]]:
     """Pages dealt from known paragraphs into layouts, and the set of paragraphs that are main text."""
     rng = random.Random(seed)
     pages, mains = [], []
     element = lambda t, c, body: f'<{t}{f" class=\"{c}\"" if c else ""}>{body}</{t}>'
+    unknown = lambda: "".join(rng.choice("bcdfghjklmnqvwxz") for _ in range(rng.randrange(2, 7)))
+    label = lambda kind: rng.choice(LABELS[kind]).format(n=rng.randrange(2, 30))
+
+    def short(n: int) -> str:
+        return entities.escape(" ".join(rng.choices(rng.choice(rng.choice(texts)).split(), k=n)))
+
+    def comments(c: str) -> str:
+        """Reader comments under a heading or with authors and times, in containers that need not be named."""
+        name, heading, signed = unknown() if rng.random() < 0.5 else "comment", rng.random() < 0.7, rng.random() < 0.7
+        out = [element(rng.choice(("h2", "h3", "h4", "div", "p")), "", label("comments"))] if heading else []
+        for _ in range(rng.randrange(2, 6)):
+            said = element(rng.choice(("p", "p", "div")), "", short(rng.randrange(3, 40)))
+            if signed or not heading:
+                who = element(rng.choice(("div", "p", "header", "span")), "", element(rng.choice(("b", "strong", "span", "a")), "", short(1).title()) + " " + rng.choice(STAMPS).format(n=rng.randrange(1, 28)))
+                said = who + said + (element("a", "", rng.choice(ANSWERS)) if rng.random() < 0.5 else "")
+            out.append(element(rng.choice(("div", "li")) if rng.random() < 0.9 else "section", name, said))
+        return element(rng.choice(("div", "section")), c, "".join(out))
 
     def junk(t: str, c: str) -> str:
-        words = rng.choice(rng.choice(texts)).split()
-        short = lambda n: entities.escape(" ".join(rng.choices(words, k=n)))
+        kind = "comments" if "comment" in c else "notice" if "notice" in c else "offer" if t == "form" or "newsletter" in c else "share" if "share" in c else "rights" if "foot" in c else "more"
+        if rng.random() < 0.25:
+            c = unknown()
+        if kind == "comments":
+            return comments(c)
+        head = element(rng.choice(("h3", "h4", "p", "span", "div")), "", label(kind)) if rng.random() < 0.5 else ""
         if t == "form":
-            return element(t, c, f"<label>{short(2)}</label><input><button>{short(1)}</button>")
+            return element(t, c, f"{head}<label>{short(2)}</label><input><button>{short(1)}</button>")
         if t == "nav" or rng.random() < 0.4:
-            return element(t, c, "<ul>" + "".join(f'<li><a href="/{i}">{short(rng.randrange(1, 4))}</a></li>' for i in range(rng.randrange(3, 8))) + "</ul>")
-        if "comment" in c:
-            return element(t, c, "".join(element("div", "comment", element("p", "", short(rng.randrange(5, 40)))) for _ in range(rng.randrange(1, 5))))
-        return element(t, c, element("p", "", short(rng.randrange(3, 25))) if rng.random() < 0.5 else short(rng.randrange(3, 20)))
+            return element(t, c, head + "<ul>" + "".join(f'<li><a href="/{i}">{short(rng.randrange(1, 4))}</a></li>' for i in range(rng.randrange(3, 8))) + "</ul>")
+        return element(t, c, head + (element("p", "", short(rng.randrange(3, 25))) if rng.random() < 0.5 else short(rng.randrange(3, 20))))
 
     for paragraphs in texts:
         for _ in range(4):
-            body = [element("h1", "", entities.escape(paragraphs[0][:60]))] if rng.random() < 0.7 else []
+            title = " ".join(SPACE.sub(" ", paragraphs[0]).split(" ")[: rng.randrange(1, 11)])
+            body = [element(rng.choice(("h1", "h1", "h2")), "", entities.escape(title))] if rng.random() < 0.8 else []
             body += [element(rng.choice(("p", "p", "p", "h2", "blockquote", "li")), "", entities.escape(t)) for t in paragraphs]
             main = len(body)
-            if rng.random() < 0.4:
-                body.insert(rng.randrange(1, main + 1), junk(*rng.choice(WITHIN)))
+            style = rng.random()
+            if style < 0.15:  # cells of a layout table
+                body = [element("tr", "", element("td", rng.choice(("", unknown())), b)) for b in body]
+            elif style < 0.35 and main > 2:  # parts in unnamed containers
+                k = rng.randrange(1, main)
+                body = [*body[:k], element(rng.choice(("div", "section")), rng.choice(("", unknown())), "".join(body[k:]))]
+            if style >= 0.15 and rng.random() < 0.4:
+                body.insert(rng.randrange(1, len(body) + 1), junk(*rng.choice(WITHIN)))
+            if style >= 0.15 and rng.random() < 0.35:
+                body.append(comments(rng.choice(("comments", unknown(), unknown(), ""))))
             top = "".join(junk(*rng.choice(BEFORE)) for _ in range(rng.randrange(0, 4)))
             end = "".join(junk(*rng.choice(AFTER)) for _ in range(rng.randrange(0, 4)))
-            tag, name = rng.choice(AROUND)
+            tag, name = rng.choice(AROUND) if style >= 0.15 else ("table", rng.choice(("", unknown())))
             middle = top + element(tag, name, "".join(body)) + end
             if rng.random() < 0.4:
                 middle = element("div", rng.choice(("wrapper", "container", "page", "")), middle)
             pages.append(f"<html><body>{middle}</body></html>")
-            mains.append({SPACE.sub(" ", t).strip() for t in [*paragraphs, paragraphs[0][:60]]})
+            mains.append({SPACE.sub(" ", t).strip() for t in [*paragraphs, title]})
     return pages, mains
 
 
@@ -386,7 +459,7 @@ def fitted(samples: list[str], seed: int = 7) -> Boosted:
         page = Page(source)
         inside = [False] * len(page.tag)
         for i in range(1, len(page.tag)):
-            inside[i] = inside[page.parent[i]] or (page.tag[i] < 2)
+            inside[i] = (inside[page.parent[i]] or page.tag[i] < 2) and not page.flags[i] & NEVER
         if any(inside):
             parsed.append(page)
             labels.append(_up(page, inside))
