@@ -104,10 +104,11 @@ def encoded_name(ident: Column) -> Column:
 
 
 def uptime(seconds: Column) -> Column:
-    """The two largest units: 3d 4h, 4h 5m, 5m 6s, 6s."""
-    d, h, m, s = F.floor(seconds / 86400), F.floor(seconds / 3600) % 24, F.floor(seconds / 60) % 60, seconds % 60
-    show = lambda a, x, b, y: F.concat(a.cast("string"), F.lit(x + " "), b.cast("string"), F.lit(y))
-    return F.when(seconds >= 86400, show(d, "d", h, "h")).when(seconds >= 3600, show(h, "h", m, "m")).when(seconds >= 60, show(m, "m", s, "s")).otherwise(F.concat(s.cast("string"), F.lit("s")))
+    """5d2h0m, 3h17m, 4m2s, 42s; the sign is dropped."""
+    t = F.abs(seconds)
+    d, h, m, s = F.floor(t / 86400), F.floor(t / 3600) % 24, F.floor(t / 60) % 60, t % 60
+    show = lambda *parts: F.concat(*[F.concat(v.cast("string"), F.lit(unit)) for v, unit in parts])
+    return F.when(t >= 86400, show((d, "d"), (h, "h"), (m, "m"))).when(t >= 3600, show((h, "h"), (m, "m"))).when(t >= 60, show((m, "m"), (s, "s"))).otherwise(show((s, "s")))
 
 
 def checkpoint_id(moment: Column) -> Column:

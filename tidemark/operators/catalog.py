@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tidemark.functions import blob_path, path_ref, ref_shaped
+from tidemark.functions import blob_path, path_ref
 from tidemark.sources import Catalog, union_all
 
 
@@ -55,33 +55,54 @@ def ext_rows(manifests: DataFrame) -> DataFrame:
 
 
 def ext_query(c: Catalog, ext: str, field: str, value: str) -> DataFrame:
-    hit = ext_rows(c.manifests).where((F.col("ext_name") == ext) & (F.col("field") == field) & (F.col("value") == value))
-    return c.manifests.where("artifact_id IS NOT NULL").join(hit.select("manifest_digest"), "manifest_digest", "left_semi")
+    """User manifests whose projected field has the value; a filter, as the field is a function of the manifest's own row."""
+    if (ext, field) != ("tidemark.namespace", "nsid"):
+        return c.manifests.limit(0)
+    return c.manifests.where(F.col("artifact_id").isNotNull() & (F.get_json_object("ext", "$.nsid") == value))
 
 
 def usr_rows(manifests: DataFrame, labels: DataFrame) -> DataFrame:
-    """User fields as rows (field, value_number), one for each labelled field."""
-    both = manifests.select("manifest_digest", "artifact_id", "doc_id").join(labels, "doc_id")
-    return both.select("manifest_digest", "artifact_id", F.explode(F.create_map(F.lit("quality"), F.col("quality"), F.lit("toxic"), F.col("toxic"))).alias("field", "value_number"))
+    """User fields as rows (field, value_text, value_number, value_hash): a number for each label, the language as text, the content as hash."""
+    both = manifests.select("manifest_digest", "artifact_id", "doc_id", "lang", "content_hash").join(labels, "doc_id")
+    none = lambda t: F.lit(None).cast(t)
+    row = lambda f, t, n, h: F.struct(F.lit(f).alias("field"), t.alias("value_text"), n.alias("value_number"), h.alias("value_hash"))
+    fields = [row(f, none("string"), F.col(f).cast("long"), none("string")) for f in ("quality", "toxic")] + [row("lang", F.col("lang"), none("long"), none("string")), row("content", none("string"), none("long"), F.col("content_hash"))]
+    return both.select("manifest_digest", "artifact_id", F.inline(F.array(*fields)))
 
 
-def usr_query(rows: DataFrame, field: str, value: str) -> DataFrame:
-    """The value equals the text form, or the number if it is a base-10 integer without blanks."""
-    number = F.when(F.lit(value).rlike("^[+-]?[0-9]+$"), F.expr(f"try_cast('{value}' AS bigint)"))
-    return rows.where((F.col("field") == field) & (F.col("value_number") == number))
+def usr_query(rows: DataFrame, field: str, value: str, indexing: bool = True) -> DataFrame:
+    """Handles whose field equals the value as text, as hash, or as the number it spells in base 10; none while indexing is off."""
+    if not indexing:
+        return rows.select("artifact_id").limit(0)
+    number = F.when(F.lit(value).rlike("^[+-]?[0-9]+$"), F.lit(value).try_cast("bigint"))
+    same = (F.col("value_text") == value) | (F.col("value_hash") == value) | (F.col("value_number") == number)
+    return rows.where((F.col("field") == field) & same & F.col("artifact_id").isNotNull()).select("artifact_id").distinct()
 
 
-def related(c: Catalog) -> DataFrame:
-    """Pairs of artifacts behind the same blob, as counts: members of a blob relate to each other."""
-    n = c.manifests.where("blob_ref IS NOT NULL").groupBy("blob_ref").agg(F.count(F.lit(1)).alias("members"))
-    return c.manifests.join(n, "blob_ref").select("doc_id", "blob_ref", (F.col("members") - 1).alias("related"))
+def related(c: Catalog, wanted: DataFrame) -> DataFrame:
+    """For every wanted (blob_ref, exclude): the other user manifests whose primary blob it is."""
+    m = c.manifests.where("artifact_id IS NOT NULL").select("blob_ref", "manifest_digest", "artifact_id")
+    return wanted.join(m, "blob_ref").where(F.col("manifest_digest") != F.col("exclude")).select("exclude", "blob_ref", "manifest_digest", "artifact_id")
 
 
 def scan_files(c: Catalog, files: DataFrame) -> DataFrame:
-    """Class of every physical file: live, orphan, or unparseable (reported, never removed)."""
+    """Class of every physical file: staging (always swept), live, orphan blob, orphan manifest, or unparseable (reported, never removed).
+
+    A blob file is live if the catalog resolves its reference at all: one without live edges waits for the
+    collection and is no orphan.
+    """
+    kind = F.substring_index("path", "/", 1)
     ref = path_ref(F.col("path"))
-    known = c.blobs.where("ref_count > 0").select(F.col("blob_ref").alias("ref"), F.lit(True).alias("known"))
-    return files.withColumn("ref", ref).join(known, "ref", "left").select("path", F.when(F.col("ref").isNull(), "unparseable").when(F.col("known"), "live").otherwise("orphan").alias("class"))
+    known = c.blobs.select(F.lit("blobs").alias("kind"), F.col("blob_ref").alias("ref")).unionByName(c.manifests.select(F.lit("manifests").alias("kind"), F.col("manifest_digest").alias("ref")))
+    rows = files.select("path", kind.alias("kind"), ref.alias("ref")).join(known.withColumn("known", F.lit(True)), ["kind", "ref"], "left")
+    state = F.when(F.col("kind") == "staging", "staging").when(F.col("ref").isNull(), "unparseable").when(F.col("known"), "live").when(F.col("kind") == "blobs", "orphan_blob").otherwise("orphan_manifest")
+    return rows.select("path", state.alias("class"))
+
+
+def orphan_report(scanned: DataFrame) -> DataFrame:
+    """One row of counts: what a sweep removes, and what it cannot read."""
+    n = lambda x: F.sum(F.when(F.col("class") == x, 1).otherwise(0)).cast("long")
+    return scanned.agg(n("staging").alias("staging_removed"), n("orphan_blob").alias("blobs_removed"), n("orphan_manifest").alias("manifests_removed"), n("unparseable").alias("errors"))
 
 
 def gc_plan(c: Catalog, tombstones: DataFrame, now: int, grace: int) -> DataFrame:
@@ -99,7 +120,7 @@ def rollback_plan(manifests: DataFrame, now: int) -> DataFrame:
 
 
 def scrub(c: Catalog, payloads: DataFrame) -> DataFrame:
-    """Recomputed hashes against the catalog: ok, corrupt, or missing payload."""
+    """Recomputed hashes against the catalog: ok, corrupt, or missing payload; payloads are one row a reference."""
     seen = payloads.select("blob_ref", F.sha2("payload", 256).alias("actual"))
     state = F.when(F.col("actual").isNull(), "missing").when(F.col("actual") == F.col("content_hash"), "ok").otherwise("corrupt")
     return c.blobs.join(seen, "blob_ref", "left").select("blob_ref", state.alias("state"))
@@ -113,14 +134,20 @@ def keep_newest(rows: DataFrame, name: str, seq: str, keep: int) -> DataFrame:
 def evict(entries: DataFrame, cap: int, ident: str = "entry", buckets: int = 1024) -> DataFrame:
     """Idle entries to evict, oldest first, until the total is at most ``cap``; held ones stay.
 
-    The running sum goes by time buckets: sums of buckets first, then inside each bucket.
+    Entries of one moment go in the order of a hash, then of the entry.  The running sum goes by time
+    buckets, moments and hashes, so no task orders more than what shares all three.
     """
     total = entries.agg(F.sum("size").alias("total"), F.min("last_access").alias("lo"), F.max("last_access").alias("hi"))
     idle = entries.where("holders = 0").join(F.broadcast(total))
-    idle = idle.withColumn("bucket", F.expr(f"CAST((last_access - lo) * {buckets} div (hi - lo + 1) AS long)"))
-    before = idle.groupBy("bucket").agg(F.sum("size").alias("s")).withColumn("before", F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("s")).drop("s")
-    inside = F.sum("size").over(Window.partitionBy("bucket").orderBy("last_access", ident)) - F.col("size")
-    return idle.join(before, "bucket").withColumn("freed", F.col("before") + inside).where(F.col("freed") < F.col("total") - cap).select(ident, "size")
+    # equal times are told apart by a hash of the entry, so a burst of them is no single bucket
+    idle = idle.withColumn("bucket", F.expr(f"CAST((last_access - lo) * {buckets} div (hi - lo + 1) AS long)")).withColumn("tie", F.pmod(F.xxhash64(ident), F.lit(buckets)))
+    key = ["bucket", "last_access", "tie"]
+    first = idle.groupBy("bucket").agg(F.sum("size").alias("s")).withColumn("b0", F.sum("s").over(Window.partitionBy(F.lit(0)).orderBy("bucket")) - F.col("s")).drop("s")
+    times = idle.groupBy("bucket", "last_access").agg(F.sum("size").alias("s")).withColumn("b1", F.sum("s").over(Window.partitionBy("bucket").orderBy("last_access")) - F.col("s")).drop("s")
+    ties = idle.groupBy(*key).agg(F.sum("size").alias("s")).withColumn("b2", F.sum("s").over(Window.partitionBy("bucket", "last_access").orderBy("tie")) - F.col("s")).drop("s")
+    inside = F.sum("size").over(Window.partitionBy(*key).orderBy(ident)) - F.col("size")
+    rows = idle.join(ties, key).join(times, ["bucket", "last_access"]).join(first, "bucket").withColumn("freed", F.col("b0") + F.col("b1") + F.col("b2") + inside)
+    return rows.where(F.col("freed") < F.col("total") - cap).select(ident, "size")
 
 
 def every_nth(events: DataFrame, n: int, span: int = 1 << 16) -> DataFrame:
@@ -144,11 +171,39 @@ def token(c: Catalog) -> DataFrame:
 
 
 def since(c: Catalog, cursor: int) -> DataFrame:
-    """Live rows after a cursor with the feed's next cursor and whether history was pruned past it."""
-    rows = c.manifests.where(F.col("csn") > cursor).select("manifest_digest", "csn")
-    head = rows.agg(F.coalesce(F.max("csn"), F.lit(cursor)).alias("next")).join(F.broadcast(c.gone.agg(F.coalesce(F.max("delete_csn"), F.lit(0)).alias("pruned"))))
-    return rows.join(F.broadcast(head.select("next", (F.lit(cursor) < F.col("pruned")).alias("gapped"))))
+    """Live rows after a cursor."""
+    return c.manifests.where(F.col("csn") > cursor).select("manifest_digest", "csn")
+
+
+def since_head(c: Catalog, cursor: int) -> DataFrame:
+    """One row, also when nothing is new: the next cursor (the last row's, or the old one) and whether history was pruned past the cursor."""
+    last = c.manifests.where(F.col("csn") > cursor).agg(F.coalesce(F.max("csn"), F.lit(cursor)).alias("next"))
+    pruned = c.gone.agg(F.coalesce(F.max("delete_csn"), F.lit(0)).alias("pruned"))
+    return last.crossJoin(F.broadcast(pruned)).select(F.col("next").cast("long").alias("next"), (F.lit(cursor) < F.col("pruned")).alias("gapped"))
+
+
+def delta(c: Catalog, cursor: int) -> DataFrame:
+    """What a view needs to catch up: the new rows resolved, or none for a gapped reader, who rebuilds."""
+    gapped = since_head(c, cursor).select("gapped")
+    return projection(c.manifests.where((F.col("csn") > cursor) & F.col("artifact_id").isNotNull()), c.blobs).crossJoin(F.broadcast(gapped)).where("NOT gapped").drop("gapped")
+
+
+def unverified_manifests(c: Catalog, cutoff: int) -> DataFrame:
+    """The projection of user manifests never verified or last verified before the cutoff."""
+    due = unverified(c.manifests.where("artifact_id IS NOT NULL"), cutoff)
+    return projection(due, c.blobs).join(due.select("manifest_digest", "last_verified_at"), "manifest_digest")
+
+
+def scrub_cutoff(now: int, max_age: int, native_age: int, force: bool = False, native: bool = False) -> int:
+    """The moment before which a verification is stale: now when forced, a laxer age on media that check themselves."""
+    return now if force else now - (native_age if native else max_age)
 
 
-def valid_refs(refs: DataFrame) -> DataFrame:
-    return refs.withColumn("valid", ref_shaped(F.col("blob_ref")))
+def first_rows(rows: DataFrame, wanted, most: int | None = None) -> list:
+    """Rows taken one by one until ``wanted`` says stop; partitions behind that are not read."""
+    out = []
+    for r in rows.toLocalIterator():
+        if most is not None and len(out) >= most or not wanted(r):
+            break
+        out.append(r)
+    return out

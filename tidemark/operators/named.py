@@ -36,3 +36,15 @@ def scoped(table: DataFrame, scope: str) -> DataFrame:
 
 def delete(table: DataFrame, name: str) -> DataFrame:
     return table.where(F.col("name") != name)
+
+
+def scoped_put(table: DataFrame, incoming: DataFrame, scope: str, keep: int = 1, veto=None) -> DataFrame:
+    """A put under a scope's prefix; ``veto`` (a condition on name and payload) refuses the whole write."""
+    if veto is not None and not incoming.where(veto).isEmpty():
+        raise ValueError("the validator refuses a payload")
+    return put(table, incoming.select(F.concat(F.lit(scope + "/"), F.col("name")).alias("name"), "payload"), keep)
+
+
+def merged(versions: DataFrame, cells: DataFrame) -> DataFrame:
+    """Versioned names by their active version and unversioned cells as one list (name, seq, payload), in name order."""
+    return get(versions).unionByName(cells.select("name", F.lit(0).cast("long").alias("seq"), "payload")).orderBy("name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -12,11 +12,25 @@ from tidemark.sources import union_all
 NAMES = {"en": "english", "de": "german", "fr": "french"}
 
 
+def synthetic_path(session: Column, artifact: Column) -> Column:
+    """Where an artifact without a path of its own stands: by its session's first digits and short id."""
+    short = F.concat(F.substring(hash_part(artifact), 1, 16), F.lit(".bin"))
+    at = F.when(F.length(session) < 4, F.concat(F.lit("_short/"), session)).otherwise(F.concat_ws("/", F.substring(session, 1, 2), F.substring(session, 3, 2), session))
+    return F.concat_ws("/", F.when(F.coalesce(session, F.lit("")) == "", F.lit("_anonymous")).otherwise(at), short)
+
+
+def labelled(rows: DataFrame, registry: DataFrame, nsid: str = "nsid") -> DataFrame:
+    """Rows with the namespace's name from the registry (name, nsid), else its id, else _default."""
+    known = registry.select(F.col("nsid").alias(nsid), F.col("name").alias("__name"))
+    return rows.join(known, nsid, "left").withColumn("label", F.coalesce("__name", F.when(F.col(nsid) != "", F.col(nsid)), F.lit("_default"))).drop("__name")
+
+
 def placed(manifests: DataFrame) -> DataFrame:
     """(root, path, artifact_id, created_at, original_size): each artifact under every root it has a place in."""
     a = F.col("artifact_id")
-    label = F.substring(hash_part(a), 1, 16)
     base = manifests.withColumn("vfs", vfs_path(F.col("ext"))).withColumn("nsid", F.get_json_object("ext", "$.nsid"))
+    # by-date shows the path's last segment where there is one
+    label = F.coalesce(last_segment(F.col("vfs")), F.concat(F.substring(hash_part(a), 1, 16), F.lit(".bin")))
     name = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in NAMES.items() for x in kv]), F.col("nsid")), "nsid", F.lit("_default"))
     rules = [("by-artifact", shard(a), F.lit(True)), ("by-date", date_path(F.col("created_at"), label), F.lit(True)), ("by-session", F.concat_ws("/", "session_id", a), F.col("session_id") != ""), ("by-orphaned", shard(a), F.col("vfs").isNull()), ("by-path", F.col("vfs"), F.col("vfs").isNotNull()), ("by-namespace", F.concat_ws("/", name, shard(a)), F.lit(True))]
     places = F.array(*[F.when(keep, F.struct(F.lit(root).alias("root"), path.alias("path"))) for root, path, keep in rules])
@@ -54,6 +68,61 @@ def children(tree: DataFrame, root: str, path: str) -> DataFrame:
     return tree.where((F.col("root") == root) & (F.col("parent") == path)).orderBy("name")
 
 
+def listed(tree: DataFrame, root: str, path: str) -> DataFrame:
+    """Children of a directory; FileNotFoundError for a path that is not there, NotADirectoryError for a file.  The root is always there."""
+    if path:
+        at = tree.where((F.col("root") == root) & (F.col("path") == path)).select("is_dir").first()
+        if at is None:
+            raise FileNotFoundError(path)
+        if not at.is_dir:
+            raise NotADirectoryError(path)
+    return children(tree, root, path)
+
+
+def got(tree: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every wanted (root, path) with its node, found or not."""
+    return wanted.select("root", "path").join(tree.withColumn("found", F.lit(True)), ["root", "path"], "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def attributes(tree: DataFrame, files: DataFrame) -> DataFrame:
+    """Nodes with the mode, owner and time a file system shows: of the path document where it states them, else defaults."""
+    doc = lambda key: F.get_json_object("ext", f"$.vfsmeta.{key}")
+    stated = files.select("root", "path", doc("mode").cast("int").alias("m"), doc("uid").cast("int").alias("u"), doc("gid").cast("int").alias("g"), doc("mtime").cast("long").alias("t"))
+    rows = tree.join(stated, ["root", "path"], "left")
+    mode = F.coalesce("m", F.when(F.col("is_dir"), F.lit(0o755)).otherwise(F.lit(0o644)))
+    return rows.select("root", "path", "is_dir", "size", mode.alias("mode"), F.coalesce("u", F.lit(0)).alias("uid"), F.coalesce("g", F.lit(0)).alias("gid"), F.coalesce("t", "mtime").alias("mtime"))
+
+
+def changed(places: DataFrame, removed: DataFrame, added: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, winners of the touched paths) after claims (root, path, manifest_digest) go and others come.
+
+    Only paths that a change names elect anew; the next claim in line takes a path whose winner goes.
+    """
+    after = places.join(removed.select("root", "path", "manifest_digest"), ["root", "path", "manifest_digest"], "left_anti").unionByName(added.select(*places.columns))
+    touched = removed.select("root", "path").unionByName(added.select("root", "path")).distinct()
+    return after, winners(after.join(touched, ["root", "path"], "left_semi"))
+
+
+def moved(places: DataFrame, root: str, old: str, new: str) -> DataFrame:
+    """Places after one path is moved: all its claims go with it."""
+    return places.withColumn("path", F.when((F.col("root") == root) & (F.col("path") == old), F.lit(new)).otherwise(F.col("path")))
+
+
+def removed_tree(tree: DataFrame, root: str, path: str) -> DataFrame:
+    """Rows after a directory and all below it are removed; the root itself cannot be."""
+    if not path:
+        raise ValueError("the root cannot be removed")
+    return tree.where(~((F.col("root") == root) & is_under(F.col("path"), path)))
+
+
+def stats(c, places: DataFrame) -> DataFrame:
+    """One row: artifacts, bytes, sessions, artifacts without a path of their own, and claims that lost their path."""
+    m = c.manifests.where("artifact_id IS NOT NULL").withColumn("vfs", vfs_path(F.col("ext")))
+    base = m.agg(F.count(F.lit(1)).alias("nodes"), F.sum("original_size").alias("bytes"), F.countDistinct(F.when(F.col("session_id") != "", F.col("session_id"))).alias("sessions"), F.sum(F.when(F.col("vfs").isNull(), 1).otherwise(0)).alias("orphaned"))
+    lost = winners(places).agg(F.sum(F.col("claims") - 1).alias("collisions"))
+    return base.crossJoin(F.broadcast(lost))
+
+
 def walk(tree: DataFrame, root: str, path: str) -> DataFrame:
     """Pre-order: siblings in name order, compared by segments."""
     return tree.where((F.col("root") == root) & is_under(F.col("path"), path)).orderBy(F.split("path", "/"))
@@ -69,9 +138,23 @@ def search(files: DataFrame, query: str, limit: int = 0) -> DataFrame:
     return hits.limit(limit) if limit else hits
 
 
-def page(rows: DataFrame, number: int, size: int = 200, key: str = "name") -> DataFrame:
-    """Directories first, then by key; ties by name; page numbers start at 1."""
-    return rows.orderBy(F.desc("is_dir"), key, "name").offset((max(number, 1) - 1) * size).limit(size)
+def truncated(hits: DataFrame, cap: int = 200) -> tuple[DataFrame, bool]:
+    """(at most ``cap`` hits, whether there are more): one more is asked for than shown."""
+    probe = hits.limit(cap + 1)
+    return probe.limit(cap), probe.count() > cap
+
+
+def sorted_listing(rows: DataFrame, key: str = "name", descending: bool = False) -> DataFrame:
+    """Directories first, then by name, size or mtime either way; ties by name."""
+    if key not in ("name", "size", "mtime"):
+        raise ValueError(f"no order by {key}")
+    return rows.orderBy(F.desc("is_dir"), F.desc(key) if descending else F.asc(key), "name")
+
+
+def page(rows: DataFrame, number: int, size: int = 200, key: str = "name", descending: bool = False) -> DataFrame:
+    """One page of a listing; page numbers start at 1, and one out of range is the nearest there is."""
+    last = max(1, -(-rows.count() // size)) if number > 1 else 1
+    return sorted_listing(rows, key, descending).offset((min(max(number, 1), last) - 1) * size).limit(size)
 
 
 def renamed(tree: DataFrame, old: str, new: str) -> DataFrame:

@@ -6,10 +6,15 @@ stamps it.  Writers append; readers take the newest state of every digest.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
-from tidemark.sources import union_all
+from tidemark.functions import content_hash, handle, manifest_document
+from tidemark.operators.payload import run_stages
+from tidemark.sources import Catalog, blobs_of, edges_of, union_all
 
 
 def snapshot(log: DataFrame) -> DataFrame:
@@ -118,3 +123,112 @@ def consensus(replicas: list[str | None]) -> str | None:
     """The descriptor that two replicas vote for: both the same, or the one that is left; None when they differ or are gone."""
     seen = {r for r in replicas if r is not None}
     return seen.pop() if len(seen) == 1 else None
+
+
+#: Columns of a manifest that a put carries in the log.
+MANIFEST_COLUMNS = "manifest_digest artifact_id session_id blob_ref blob_refs content_hash original_size created_at retention_until ext".split()
+
+
+def put_batch(incoming: DataFrame, c: Catalog, now: int, inline_limit: int = 4096, stages: tuple[str, ...] = ()) -> DataFrame:
+    """Artifacts (payload, session_id, ext, retention_until) as put rows: MANIFEST_COLUMNS, action, stored and inline.
+
+    action tells where the payload goes: inline (at most the limit), deduplicated (a blob with the same content and
+    size is there, or comes earlier in the batch), stored (new bytes, in column stored).  One aggregate and one join by
+    content; nothing is looked up row by row.
+    """
+    rows = incoming.withColumn("original_size", F.octet_length("payload").cast("long"))
+    rows = run_stages(rows, list(stages)).withColumn("artifact_id", handle(F.col("content_hash"))).withColumn("created_at", F.lit(now).cast("long"))
+    inline = F.col("original_size") <= inline_limit
+    known = c.blobs.where("crypto_identity = ''").groupBy("content_hash", "original_size").agg(F.min("blob_ref").alias("known"))
+    rows = rows.join(known, ["content_hash", "original_size"], "left")
+    first = F.row_number().over(Window.partitionBy("content_hash", "original_size").orderBy("session_id", "ext"))
+    rows = rows.withColumn("action", F.when(inline, "inline").when(F.col("known").isNotNull() | (first > 1), "deduplicated").otherwise("stored"))
+    rows = rows.withColumn("blob_ref", F.when(~inline, F.coalesce("known", "blob_ref"))).withColumn("blob_refs", F.when(inline, F.array().cast("array<string>")).otherwise(F.array("blob_ref")))
+    rows = rows.withColumn("document", manifest_document("ext", "artifact_id", "blob_refs", "content_hash", "created_at", "original_size", "session_id")).withColumn("manifest_digest", F.sha2("document", 256))
+    rows = rows.withColumn("stored", F.when(F.col("action") == "stored", F.col("stored"))).withColumn("inline", F.when(inline, F.col("payload")))
+    return rows.select(*[x for x in incoming.columns if x not in ("payload", *MANIFEST_COLUMNS)], *MANIFEST_COLUMNS, "document", "action", "stored", "inline")
+
+
+def headless(payloads: DataFrame, now: int) -> DataFrame:
+    """Container manifests of payloads (payload): no handle, one blob, addressed by the digest, never inline."""
+    rows = payloads.withColumn("content_hash", content_hash(F.col("payload"))).withColumn("blob_ref", F.col("content_hash")).withColumn("blob_refs", F.array("blob_ref"))
+    rows = rows.withColumns({"artifact_id": F.lit(None).cast("string"), "slot": F.lit(""), "session_id": F.lit(""), "ext": F.lit("{}"), "created_at": F.lit(now).cast("long"), "original_size": F.octet_length("payload").cast("long"), "retention_until": F.lit(None).cast("long")})
+    document = manifest_document("ext", "slot", "blob_refs", "content_hash", "created_at", "original_size", "session_id")
+    return rows.withColumn("manifest_digest", F.sha2(document, 256)).select(*MANIFEST_COLUMNS)
+
+
+def delete_checked(wanted: DataFrame, c: Catalog, now: int, no_delete: bool = False) -> DataFrame:
+    """(artifact_id, manifest_digest, outcome) of deletes: not_found, retention (which comes before the policy), forbidden, deleted.
+
+    A handle stands for its freshest manifest; manifests without a handle are not visible.
+    """
+    newest = c.manifests.where("artifact_id IS NOT NULL").groupBy("artifact_id").agg(F.max(F.struct("csn", "manifest_digest", "retention_until")).alias("m"))
+    rows = wanted.select("artifact_id").distinct().join(newest, "artifact_id", "left").select("artifact_id", "m.manifest_digest", "m.retention_until")
+    outcome = F.when(F.col("manifest_digest").isNull(), "not_found").when(F.col("retention_until") > now, "retention").when(F.lit(no_delete), "forbidden").otherwise("deleted")
+    return rows.select("artifact_id", "manifest_digest", outcome.alias("outcome"))
+
+
+def rollback(c: Catalog, session: str, now: int) -> DataFrame:
+    """Digests that rolling a session back deletes: all of them, or none if any is under retention; an empty session is refused."""
+    if not session:
+        raise ValueError("a rollback needs a session")
+    own = c.manifests.where(F.col("session_id") == session)
+    held = F.max(F.when(F.col("retention_until") > now, 1).otherwise(0)).over(Window.partitionBy("session_id"))
+    return own.withColumn("held", held).where("held = 0").select("manifest_digest")
+
+
+def log_of_puts(put: DataFrame, first_csn: int, span: int = 1 << 16) -> DataFrame:
+    """Put rows as log rows: csn counts on from ``first_csn`` in the order of digests; ranges of digests are counted first, so no task numbers all."""
+    rows = put.withColumn("__b", F.conv(F.substring("manifest_digest", 1, 4), 16, 10).cast("long"))
+    sums = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("n"))
+    before = sums.select("__b", (F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("__b")) - F.col("n")).alias("before"))
+    rn = F.row_number().over(Window.partitionBy("__b").orderBy("manifest_digest"))
+    rows = rows.withColumn("rn", rn).join(F.broadcast(before), "__b")
+    return rows.withColumn("csn", F.lit(first_csn).cast("long") + F.col("before") + F.col("rn") - 1).withColumn("op", F.lit("put")).drop("__b", "rn", "before")
+
+
+def catalog_of(log: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(manifests, edges, blobs) that a log of whole put rows, deletes and stamps stands for.
+
+    Writers only append; indexing a digest twice is one row, and reference counts are counts of live edges.
+    """
+    live = snapshot(log)
+    carried = [x for x in MANIFEST_COLUMNS if x != "manifest_digest"]
+    put = log.where("op = 'put'").groupBy("manifest_digest").agg(F.max_by(F.struct(*carried), "csn").alias("r"), F.min("csn").alias("first"))
+    put = put.select("manifest_digest", "r.*", F.col("first").alias("csn"))
+    manifests = put.drop("csn").join(live.select("manifest_digest", "csn", "last_verified_at"), "manifest_digest")
+    edges = edges_of(manifests)
+    return manifests, edges, blobs_of(put.withColumn("last_verified_at", F.lit(None).cast("long")), edges)
+
+
+def projections(manifests: DataFrame, indexers: dict[str, Callable[[DataFrame], DataFrame]], indexing: bool = True) -> DataFrame:
+    """Rows (manifest_digest, index, field, value) that user indexers derive, one for each key; the greatest of several values stays.  None while indexing is off."""
+    out = None
+    for name, f in sorted(indexers.items()):
+        one = f(manifests).select("manifest_digest", F.lit(name).alias("index"), "field", F.col("value").cast("string").alias("value"))
+        out = one if out is None else out.unionByName(one)
+    out = out.groupBy("manifest_digest", "index", "field").agg(F.max("value").alias("value"))
+    return out if indexing else out.limit(0)
+
+
+class Indexes:
+    """Registered indexes with their schema versions: a name comes once, and a version never goes back."""
+
+    def __init__(self, stored: dict[str, int] | None = None):
+        self.stored, self.open = dict(stored or {}), {}
+
+    def register(self, name: str, version: int, indexer: Callable[[DataFrame], DataFrame]) -> None:
+        if name in self.open:
+            raise ValueError(f"index {name} is registered")
+        if version < self.stored.get(name, version):
+            raise ValueError(f"index {name} is stored at version {self.stored[name]}")
+        self.stored[name], self.open[name] = version, indexer
+
+    def listed(self) -> list[tuple[str, int]]:
+        return sorted(self.stored.items())
+
+
+def replay_tail(log: DataFrame, files: DataFrame, first_csn: int) -> DataFrame:
+    """The log after the manifests of files (rebuilt rows, state indexed) are put again; digests that it holds are left."""
+    new = files.where("state = 'indexed'").withColumn("retention_until", F.lit(None).cast("long")).join(log.where("op = 'put'").select("manifest_digest"), "manifest_digest", "left_anti")
+    return log.unionByName(log_of_puts(new.select(*MANIFEST_COLUMNS), first_csn), allowMissingColumns=True)

@@ -12,7 +12,7 @@ from tidemark import functions as fn
 from tidemark.operators import catalog as op
 from tidemark.functions import preview
 from tidemark.operators import kv, payload, views, writes
-from tidemark.sources import DAY, EPOCH, catalog, puts, table, upsert, versions
+from tidemark.sources import DAY, EPOCH, catalog, puts, table, union_all, upsert, versions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,18 +20,19 @@ ORACLES: dict[str, str] = {}
 NOW = EPOCH + 25 * DAY
 
 BASE = f"""WITH p0 AS (SELECT doc_id, lang, source AS session_id, text, sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS original_size FROM documents),
-p AS (SELECT *, 'sha256-' || sha256('tidemark/handle/1:' || content_hash) AS artifact_id, sha256('manifest:' || doc_id || ':' || content_hash) AS manifest_digest,
-  CASE WHEN original_size > 4096 THEN content_hash END AS blob_ref, {EPOCH} + doc_id AS created_at, doc_id + 1 AS csn,
+p1 AS (SELECT *, 'sha256-' || sha256(encode('tidemark/handle/1:') || unhex(content_hash) || unhex(sha256('tidemark/identity/1:{{}}'))) AS artifact_id, CASE WHEN original_size > 4096 THEN content_hash END AS blob_ref, {EPOCH} + doc_id AS created_at, doc_id + 1 AS csn,
+  '{{' || CASE WHEN doc_id % 11 = 0 THEN '' ELSE '"vfsmeta":{{"version":1,"path":"' || CASE WHEN doc_id % 13 = 0 THEN '/abs' ELSE lang || '/' || session_id || '/' || (doc_id % 37) || '.txt' END || '"}},' END || '"nsid":"' || lang || '"}}' AS ext FROM p0),
+p AS (SELECT *, sha256(document) AS manifest_digest,
   CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 13 = 0 THEN NULL ELSE lang || '/' || session_id || '/' || (doc_id % 37) || '.txt' END AS vfs,
   CASE WHEN doc_id % 11 = 0 THEN 'absent' WHEN doc_id % 13 = 0 THEN 'error' ELSE 'ok' END AS status,
-  CASE WHEN doc_id % 3 <> 0 THEN {EPOCH} + doc_id + (doc_id % 40) * {DAY} END AS last_verified_at, CASE WHEN doc_id % 5 <> 0 THEN {EPOCH} + doc_id + (doc_id % 50) * {DAY} END AS retention_until FROM p0),
+  CASE WHEN doc_id % 3 <> 0 THEN {EPOCH} + doc_id + (doc_id % 40) * {DAY} END AS last_verified_at, CASE WHEN doc_id % 5 <> 0 THEN {EPOCH} + doc_id + (doc_id % 50) * {DAY} END AS retention_until FROM (SELECT *, '{{"ext":' || ext || ',"sys":{{"artifact_id":"' || artifact_id || '","blob_refs":[' || CASE WHEN blob_ref IS NULL THEN '' WHEN doc_id % 17 = 0 THEN '"' || blob_ref || '","' || blob_ref || '"' ELSE '"' || blob_ref || '"' END || '],"content_hash":"' || content_hash || '","created_at":"' || strftime(make_timestamp(created_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') || '","layout_header":{{"blob_storage":"' || CASE WHEN blob_ref IS NULL THEN 'Inline' ELSE 'Target' END || '"}},"original_size":' || original_size || ',"schema_version":1,"session_id":"' || session_id || '"}}}}' AS document FROM p1)),
 gone AS (SELECT p.doc_id, event_id + 1000000000 AS delete_csn FROM p JOIN events ON event_id = p.doc_id AND event_type = 'error'),
 m AS (SELECT * FROM p WHERE doc_id NOT IN (SELECT doc_id FROM gone)),
 edges AS (SELECT manifest_digest, blob_ref, 0 AS position, artifact_id FROM m WHERE blob_ref IS NOT NULL UNION ALL SELECT manifest_digest, blob_ref, 1, artifact_id FROM m WHERE blob_ref IS NOT NULL AND doc_id % 17 = 0),
 blobs AS (SELECT q.blob_ref, q.original_size, coalesce(n, 0) AS ref_count, lv AS last_verified_at FROM (SELECT blob_ref, any_value(original_size) AS original_size, max(last_verified_at) AS lv FROM p WHERE blob_ref IS NOT NULL GROUP BY 1) q LEFT JOIN (SELECT blob_ref, count(*) AS n FROM edges GROUP BY 1) e USING (blob_ref)),
 hp AS (SELECT *, substr(artifact_id, 8, 2) || '/' || substr(artifact_id, 10, 2) || '/' || artifact_id AS sh FROM m),
 places AS (SELECT 'by-artifact' AS root, sh AS path, artifact_id, manifest_digest, created_at, original_size FROM hp
-  UNION ALL SELECT 'by-date', strftime(make_timestamp(created_at * 1000000), '%Y/%m/%d/%H-%M-%S-') || substr(artifact_id, 8, 16), artifact_id, manifest_digest, created_at, original_size FROM hp
+  UNION ALL SELECT 'by-date', strftime(make_timestamp(created_at * 1000000), '%Y/%m/%d/%H-%M-%S-') || CASE WHEN vfs IS NULL THEN substr(artifact_id, 8, 16) || '.bin' ELSE (doc_id % 37) || '.txt' END, artifact_id, manifest_digest, created_at, original_size FROM hp
   UNION ALL SELECT 'by-session', session_id || '/' || artifact_id, artifact_id, manifest_digest, created_at, original_size FROM hp
   UNION ALL SELECT 'by-orphaned', sh, artifact_id, manifest_digest, created_at, original_size FROM hp WHERE vfs IS NULL
   UNION ALL SELECT 'by-path', vfs, artifact_id, manifest_digest, created_at, original_size FROM hp WHERE vfs IS NOT NULL
@@ -63,6 +64,10 @@ def simple(name: str, build: Callable, sql: str) -> None:
     ORACLES[name] = BASE + sql
 
 
+def wanted_digest(c) -> str:
+    return c.manifests.agg(F.min("manifest_digest").alias("d")).first().d or ""
+
+
 def tree(c) -> DataFrame:
     return views.nodes(views.winners(views.placed(c.manifests)))
 
@@ -80,7 +85,7 @@ def capacity(spark, sf_dir):
 
 
 simple("walk_manifests", op.walk, "SELECT manifest_digest, artifact_id, session_id, coalesce(m.blob_ref, '') AS blob_ref, CASE WHEN m.blob_ref IS NULL THEN 'inline' ELSE 'target' END AS layout, created_at, m.original_size AS size, csn FROM m")
-simple("manifest_by_digest", lambda c: op.walk(c).where(F.col("csn") == 8).limit(1), "SELECT manifest_digest, artifact_id, session_id, coalesce(blob_ref, '') AS blob_ref, CASE WHEN blob_ref IS NULL THEN 'inline' ELSE 'target' END AS layout, created_at, original_size AS size, csn FROM m WHERE csn = 8")
+simple("manifest_by_digest", lambda c: op.walk(c).where(F.col("manifest_digest") == wanted_digest(c)).limit(1), "SELECT manifest_digest, artifact_id, session_id, coalesce(blob_ref, '') AS blob_ref, CASE WHEN blob_ref IS NULL THEN 'inline' ELSE 'target' END AS layout, created_at, original_size AS size, csn FROM m WHERE manifest_digest = (SELECT min(manifest_digest) FROM m)")
 simple("resolve_blobs", lambda c: op.resolve(c.puts.select(F.col("content_hash").alias("blob_ref")).distinct(), c.blobs), "SELECT h AS blob_ref, CASE WHEN b.blob_ref IS NOT NULL THEN 'blobs/' || substr(h, 1, 2) || '/' || substr(h, 3, 2) || '/' || h END AS path, b.blob_ref IS NOT NULL AS found, ref_count FROM (SELECT DISTINCT content_hash AS h FROM p) LEFT JOIN blobs b ON h = b.blob_ref")
 simple("resolve_digest", lambda c: op.newest_by_handle(c.manifests), "SELECT artifact_id, arg_max(manifest_digest, csn) AS manifest_digest, max(csn) AS csn FROM m GROUP BY 1")
 simple("manifest_exists", lambda c: c.puts.select("manifest_digest").join(c.manifests.select("manifest_digest", F.lit(True).alias("e")), "manifest_digest", "left").select("manifest_digest", F.coalesce("e", F.lit(False)).alias("present")), "SELECT manifest_digest, manifest_digest IN (SELECT manifest_digest FROM m) AS present FROM p")
@@ -89,7 +94,7 @@ simple("ref_counts", lambda c: c.blobs.select("blob_ref", "ref_count"), "SELECT
 simple("session_members", lambda c: c.manifests.where("session_id = 'src1' AND artifact_id IS NOT NULL").select("artifact_id"), "SELECT artifact_id FROM m WHERE session_id = 'src1'")
 simple("orphan_blobs", lambda c: op.orphans(c).select("blob_ref", "original_size"), "SELECT blob_ref, original_size FROM blobs WHERE ref_count = 0")
 simple("unverified_blobs", lambda c: op.unverified(c.blobs, NOW).orderBy(F.asc_nulls_first("last_verified_at"), "blob_ref").select("blob_ref", "last_verified_at"), f"SELECT blob_ref, last_verified_at FROM blobs WHERE last_verified_at IS NULL OR last_verified_at < {NOW}")
-simple("unverified_manifests", lambda c: op.unverified(c.manifests, NOW).select("manifest_digest", "last_verified_at"), f"SELECT manifest_digest, last_verified_at FROM m WHERE last_verified_at IS NULL OR last_verified_at < {NOW}")
+simple("unverified_manifests", lambda c: op.unverified_manifests(c, op.scrub_cutoff(NOW + DAY, DAY, 9 * DAY)).select("manifest_digest", "layout", "size", "last_verified_at"), f"SELECT manifest_digest, CASE WHEN blob_ref IS NULL THEN 'inline' ELSE 'target' END AS layout, original_size AS size, last_verified_at FROM m WHERE last_verified_at IS NULL OR last_verified_at < {NOW}")
 simple("view_filter", lambda c: c.manifests.withColumn("path", fn.vfs_path(F.col("ext"))).where((F.col("session_id") == "src3") & F.col("path").startswith("en/")).select("doc_id", "path"), "SELECT doc_id, vfs AS path FROM m WHERE session_id = 'src3' AND starts_with(vfs, 'en/')")
 simple("retention_blocked", lambda c: c.manifests.where(F.col("retention_until") > NOW).select("manifest_digest", "retention_until"), f"SELECT manifest_digest, retention_until FROM m WHERE retention_until > {NOW}")
 simple("ext_decode", lambda c: c.manifests.select("doc_id", fn.vfs_status(F.col("ext")).alias("status"), fn.vfs_path(F.col("ext")).alias("path")), "SELECT doc_id, status, vfs AS path FROM m")
@@ -97,7 +102,7 @@ simple("blob_paths", lambda c: c.blobs.select("blob_ref", fn.blob_path(F.col("bl
 simple("manifests_by_blob", lambda c: op.by_blob(c).select("blob_ref", "manifest_digest", F.col("position").cast("long").alias("position"), "artifact_id"), "SELECT blob_ref, manifest_digest, CAST(position AS BIGINT) AS position, artifact_id FROM edges")
 simple("list_by_ext", lambda c: op.projection(op.ext_query(c, "tidemark.namespace", "nsid", "fr"), c.blobs).select("manifest_digest", "layout", "size", "created_at"), "SELECT manifest_digest, CASE WHEN blob_ref IS NULL THEN 'inline' ELSE 'target' END AS layout, original_size AS size, created_at FROM m WHERE lang = 'fr'")
 simple("ext_query", lambda c: op.ext_query(c, "tidemark.namespace", "nsid", "de").select("artifact_id").distinct(), "SELECT DISTINCT artifact_id FROM m WHERE lang = 'de'")
-simple("related_artifacts", op.related, "SELECT m.doc_id, m.blob_ref, n - 1 AS related FROM m JOIN (SELECT blob_ref, count(*) AS n FROM m WHERE blob_ref IS NOT NULL GROUP BY 1) USING (blob_ref)")
+simple("related_artifacts", lambda c: op.related(c, c.manifests.where("blob_ref IS NOT NULL").select("blob_ref", F.col("manifest_digest").alias("exclude"))).select("exclude", "manifest_digest"), "SELECT a.manifest_digest AS exclude, b.manifest_digest FROM m a JOIN m b ON a.blob_ref = b.blob_ref AND a.manifest_digest <> b.manifest_digest")
 simple("scrub_cascade", lambda c: c.manifests.join(c.edges.join(op.unverified(c.blobs, NOW).select("blob_ref"), "blob_ref", "left_semi").select("manifest_digest"), "manifest_digest", "left_semi").select("manifest_digest"), f"SELECT DISTINCT manifest_digest FROM edges JOIN blobs USING (blob_ref) WHERE last_verified_at IS NULL OR last_verified_at < {NOW}")
 simple("count_manifests", lambda c: c.manifests.where("artifact_id IS NOT NULL").agg(F.count(F.lit(1)).alias("n")), "SELECT count(*) AS n FROM m")
 simple("duplicate_handles", lambda c: c.manifests.groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "SELECT artifact_id, count(*) AS n FROM m GROUP BY 1 HAVING count(*) > 1")
@@ -110,10 +115,23 @@ simple("list_children", lambda c: views.children(tree(c), "by-path", "en/src1").
 simple("listing_page", lambda c: views.page(tree(c).where("root = 'by-session' AND parent = 'src1'"), 1, 20).select("name", "is_dir", "size"), "SELECT name, is_dir, size FROM named WHERE root = 'by-session' AND parent = 'src1' ORDER BY is_dir DESC, name LIMIT 20")
 simple("subtree_walk", lambda c: views.walk(tree(c), "by-path", "de").select("path", "is_dir", "name"), "SELECT path, is_dir, name FROM named WHERE root = 'by-path' AND (path = 'de' OR starts_with(path, 'de/'))")
 simple("search_paths", lambda c: views.search(views.winners(views.placed(c.manifests).where("root = 'by-path'")), " SRC1/", 50).select("path", "artifact_id"), "SELECT path, artifact_id FROM files WHERE root = 'by-path' AND contains(lower(path), 'src1/') ORDER BY created_at DESC, artifact_id, path LIMIT 50")
-simple("locations", lambda c: views.placed(c.manifests).where("root != 'by-date'").groupBy("manifest_digest").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("=", "root", "path"))), ",").alias("at")), "SELECT manifest_digest, string_agg(DISTINCT root || '=' || path, ',' ORDER BY root || '=' || path) AS at FROM places WHERE root <> 'by-date' GROUP BY 1")
+simple("locations", lambda c: views.placed(c.manifests).groupBy("manifest_digest").agg(F.array_join(F.sort_array(F.collect_set(F.concat_ws("=", "root", "path"))), ",").alias("at")), "SELECT manifest_digest, string_agg(DISTINCT root || '=' || path, ',' ORDER BY root || '=' || path) AS at FROM places GROUP BY 1")
 simple("renamed_tree", lambda c: views.renamed(tree(c).where("root = 'by-path'"), "fr", "archive/fr").select("path", "is_dir"), "SELECT CASE WHEN path = 'fr' OR starts_with(path, 'fr/') THEN 'archive/fr' || substr(path, 3) ELSE path END AS path, is_dir FROM named WHERE root = 'by-path'")
 simple("path_index", lambda c: c.manifests.withColumn("path", fn.vfs_path(F.col("ext"))).where("path IS NOT NULL").groupBy("path").agg(F.min("artifact_id").alias("first_id"), F.countDistinct("artifact_id").alias("ids")), "SELECT vfs AS path, min(artifact_id) AS first_id, count(DISTINCT artifact_id) AS ids FROM m WHERE vfs IS NOT NULL GROUP BY 1")
-simple("orphan_files", lambda c: op.scan_files(c, c.puts.select(F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("blobs/tmp-"), F.col("doc_id").cast("string"))).otherwise(fn.blob_path(F.col("content_hash"))).alias("path")).distinct()), "SELECT path, CASE WHEN path LIKE 'blobs/tmp-%' THEN 'unparseable' WHEN b.ref_count > 0 THEN 'live' ELSE 'orphan' END AS class FROM (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN 'blobs/tmp-' || doc_id ELSE 'blobs/' || substr(content_hash, 1, 2) || '/' || substr(content_hash, 3, 2) || '/' || content_hash END AS path, CASE WHEN doc_id % 7 <> 0 THEN content_hash END AS h FROM p) LEFT JOIN blobs b ON h = b.blob_ref")
+FILES = """(SELECT DISTINCT 'blobs/' || substr(content_hash, 1, 2) || '/' || substr(content_hash, 3, 2) || '/' || content_hash AS path, CASE WHEN content_hash IN (SELECT blob_ref FROM blobs) THEN 'live' ELSE 'orphan_blob' END AS class FROM p
+  UNION ALL SELECT 'manifests/' || substr(manifest_digest, 1, 2) || '/' || substr(manifest_digest, 3, 2) || '/' || manifest_digest, CASE WHEN doc_id IN (SELECT doc_id FROM gone) THEN 'orphan_manifest' ELSE 'live' END FROM p
+  UNION ALL SELECT 'blobs/tmp-' || doc_id, 'unparseable' FROM p WHERE doc_id % 7 = 0 UNION ALL SELECT 'staging/put-' || doc_id, 'staging' FROM p WHERE doc_id % 19 = 0)"""
+
+
+def files(c) -> DataFrame:
+    """What lies in a store: blobs (those of inline payloads left by crashed writes), manifests (deleted ones too), staging and foreign files."""
+    d = F.col("doc_id").cast("string")
+    paths = [c.puts.select(fn.blob_path(F.col("content_hash")).alias("path")).distinct(), c.puts.select(fn.blob_path(F.col("manifest_digest"), "manifests").alias("path")), c.puts.where("doc_id % 7 = 0").select(F.concat(F.lit("blobs/tmp-"), d).alias("path")), c.puts.where("doc_id % 19 = 0").select(F.concat(F.lit("staging/put-"), d).alias("path"))]
+    return union_all(paths)
+
+
+simple("orphan_files", lambda c: op.scan_files(c, files(c)), f"SELECT path, class FROM {FILES}")
+simple("orphan_report", lambda c: op.orphan_report(op.scan_files(c, files(c))), f"SELECT count(*) FILTER (WHERE class = 'staging') AS staging_removed, count(*) FILTER (WHERE class = 'orphan_blob') AS blobs_removed, count(*) FILTER (WHERE class = 'orphan_manifest') AS manifests_removed, count(*) FILTER (WHERE class = 'unparseable') AS errors FROM {FILES}")
 TOMBS = f"SELECT blob_ref, {EPOCH} + (ascii(blob_ref) % 40) * {DAY} AS marked_at FROM blobs WHERE ascii(blob_ref) % 3 <> 0"
 
 
@@ -126,24 +144,26 @@ simple("gc_plan", lambda c: op.gc_plan(c, tombstones(c), NOW, 7 * DAY), f"SELECT
 simple("gc_stats", lambda c: op.gc_plan(c, tombstones(c), NOW, 7 * DAY).groupBy("action").agg(F.count(F.lit(1)).alias("blobs"), F.sum("original_size").alias("bytes")), f"SELECT action, count(*) AS blobs, CAST(sum(original_size) AS BIGINT) AS bytes FROM {GC} GROUP BY 1")
 simple("rollback_plan", lambda c: op.rollback_plan(c.manifests, NOW), f"SELECT session_id, count(*) AS artifacts, CAST(sum(CASE WHEN retention_until > {NOW} THEN 1 ELSE 0 END) AS BIGINT) AS held, CASE WHEN sum(CASE WHEN retention_until > {NOW} THEN 1 ELSE 0 END) > 0 THEN 0 ELSE count(*) END AS deletes FROM m GROUP BY 1")
 simple("change_token", op.token, "SELECT greatest((SELECT max(csn) FROM p), (SELECT max(delete_csn) FROM gone)) AS token")
-simple("since_delta", lambda c: op.since(c, 500), "SELECT manifest_digest, csn, (SELECT max(csn) FROM m WHERE csn > 500) AS next, 500 < (SELECT max(delete_csn) FROM gone) AS gapped FROM m WHERE csn > 500")
+simple("since_delta", lambda c: op.since(c, 500), "SELECT manifest_digest, csn FROM m WHERE csn > 500")
 simple("upsert_restore", lambda c: upsert(c.manifests.select("manifest_digest", "csn", F.lit("current").alias("origin")), c.puts.where("lang = 'de'").select("manifest_digest", "csn", F.lit("saved").alias("origin")), ["manifest_digest"]), "SELECT manifest_digest, csn, 'saved' AS origin FROM p WHERE lang = 'de' UNION ALL SELECT manifest_digest, csn, 'current' FROM m WHERE lang <> 'de'")
 simple("inline_decision", lambda c: c.puts.select("doc_id", F.when(F.col("original_size") <= 4096, "inline").otherwise("target").alias("layout")), "SELECT doc_id, CASE WHEN original_size <= 4096 THEN 'inline' ELSE 'target' END AS layout FROM p")
 simple("presented_sizes", lambda c: c.manifests.select("doc_id", fn.human_bytes(F.col("original_size")).alias("size"), fn.rfc3339(F.col("created_at")).alias("created")), "SELECT doc_id, CASE WHEN original_size >= 1073741824 THEN printf('%.1f GiB', original_size / 1073741824.0) WHEN original_size >= 1048576 THEN printf('%.1f MiB', original_size / 1048576.0) WHEN original_size >= 1024 THEN printf('%.1f KiB', original_size / 1024.0) ELSE original_size || ' B' END AS size, strftime(make_timestamp(created_at * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS created FROM m")
 
 
-@query("SELECT m.artifact_id, m.manifest_digest FROM m JOIN labels l ON l.doc_id = m.doc_id WHERE l.quality = 1")
+@query("SELECT DISTINCT 'quality' AS field, m.artifact_id FROM m JOIN labels l ON l.doc_id = m.doc_id WHERE l.quality = 1 UNION ALL SELECT DISTINCT 'lang', m.artifact_id FROM m JOIN labels l ON l.doc_id = m.doc_id WHERE m.lang = 'de' UNION ALL SELECT DISTINCT 'content', m.artifact_id FROM m JOIN labels l ON l.doc_id = m.doc_id WHERE m.content_hash = (SELECT min(m.content_hash) FROM m JOIN labels l ON l.doc_id = m.doc_id)")
 def usr_query(spark, sf_dir):
-    c = catalog(spark, sf_dir)
-    return op.usr_query(op.usr_rows(c.manifests, table(spark, sf_dir, "labels")), "quality", "1").select("artifact_id", "manifest_digest")
+    rows = op.usr_rows(catalog(spark, sf_dir).manifests, table(spark, sf_dir, "labels"))
+    least = rows.agg(F.min("value_hash").alias("h")).first().h
+    return union_all([op.usr_query(rows, field, value).select(F.lit(field).alias("field"), "artifact_id") for field, value in (("quality", "+1"), ("lang", "de"), ("content", least or ""))])
 
 
-@query("SELECT 'ok' AS state, count(*) AS blobs FROM blobs WHERE blob_ref NOT IN (SELECT content_hash FROM p WHERE lang = 'fr') UNION ALL SELECT 'missing', count(*) FROM blobs WHERE blob_ref IN (SELECT content_hash FROM p WHERE lang = 'fr')")
+@query("SELECT CASE WHEN blob_ref IN (SELECT content_hash FROM p WHERE doc_id % 5 = 0) THEN 'missing' WHEN blob_ref IN (SELECT content_hash FROM p WHERE doc_id % 5 = 1) THEN 'corrupt' ELSE 'ok' END AS state, count(*) AS blobs FROM blobs GROUP BY 1")
 def scrub_report(spark, sf_dir):
+    """Payloads of every fifth document are lost, and those of the next one damaged."""
     c = catalog(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("lang", F.sha2("text", 256).alias("blob_ref"), F.encode("text", "utf-8").alias("payload"))
-    lost = docs.where("lang = 'fr'").select("blob_ref").distinct()
-    kept = docs.join(lost, "blob_ref", "left_anti").dropDuplicates(["blob_ref"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("payload"))
+    refs = c.puts.where("blob_ref IS NOT NULL").groupBy("blob_ref").agg(F.min("doc_id").alias("doc_id"), F.max(F.expr("doc_id % 5 = 0")).alias("lost"), F.max(F.expr("doc_id % 5 = 1")).alias("hurt"))
+    kept = refs.where("NOT lost").join(docs, "doc_id").select("blob_ref", F.when(F.col("hurt"), F.concat("payload", F.lit(b"x"))).otherwise(F.col("payload")).alias("payload"))
     return op.scrub(c, kept).groupBy("state").agg(F.count(F.lit(1)).alias("blobs"))
 
 
@@ -195,10 +215,10 @@ def payload_roundtrip(spark, sf_dir):
     return back.select("doc_id", F.sha2("back", 256).alias("back_hash"), F.octet_length("back").cast("long").alias("back_size"))
 
 
-@query("SELECT doc_id, content_hash AS back_hash, CAST(ceil(original_size / 1024.0) AS BIGINT) AS frames FROM p WHERE original_size > 0")
+@query("SELECT doc_id, content_hash AS back_hash, CAST(greatest(1, ceil(original_size / 1024.0)) AS BIGINT) AS frames FROM p")
 def sealed_segments(spark, sf_dir):
     key, aad = F.lit(b"0123456789abcdef"), F.lit(b"tidemark")
-    d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("payload")).where(F.octet_length("payload") > 0)
+    d = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("payload"))
     part = d.select("doc_id", F.sha2("payload", 256).alias("h"), F.explode(payload.segments(F.col("payload"), 1024)).alias("s"))
     sealed = part.select("doc_id", "s.index", payload.seal(F.col("s.part"), key, payload.convergent_iv(b"0123456789abcdef", "k1")("h", "s.index"), aad).alias("frame"))
     opened = sealed.select("doc_id", "index", F.hex(payload.unseal(F.col("frame"), key, aad)).alias("x"))
@@ -231,7 +251,7 @@ def index_rows(c) -> DataFrame:
 simple("kv_prefix_scan", lambda c: kv.prefix_scan(index_rows(c), "paths", "en/").select("key", "value"), "SELECT vfs || '#' || manifest_digest AS key, artifact_id AS value FROM m WHERE starts_with(vfs, 'en/')")
 simple("kv_range_scan", lambda c: kv.range_scan(index_rows(c), "paths", "de/src1", "es/").select("key", "value"), "SELECT vfs || '#' || manifest_digest AS key, artifact_id AS value FROM m WHERE vfs || '#' || manifest_digest >= 'de/src1' AND vfs || '#' || manifest_digest < 'es/'")
 simple("media_types", lambda c: c.manifests.select("doc_id", preview.media_type(F.coalesce(fn.vfs_path(F.col("ext")), F.lit("")), F.when(F.col("lang") == "es", "application/x-own")).alias("type")), "SELECT doc_id, CASE WHEN lang = 'es' THEN 'application/x-own' WHEN vfs IS NULL THEN '' ELSE 'text/plain; charset=utf-8' END AS type FROM m")
-simple("encoded_names", lambda c: c.manifests.select("doc_id", preview.encoded_name(F.concat_ws("/", "session_id", "artifact_id")).alias("name"), preview.uptime(F.col("created_at") - EPOCH).alias("age")), f"SELECT doc_id, session_id || '_' || artifact_id AS name, CASE WHEN t >= 86400 THEN (t // 86400) || 'd ' || (t // 3600 % 24) || 'h' WHEN t >= 3600 THEN (t // 3600) || 'h ' || (t // 60 % 60) || 'm' WHEN t >= 60 THEN (t // 60) || 'm ' || (t % 60) || 's' ELSE t || 's' END AS age FROM (SELECT *, created_at - {EPOCH} AS t FROM m)")
+simple("encoded_names", lambda c: c.manifests.select("doc_id", preview.encoded_name(F.concat_ws("/", "session_id", "artifact_id")).alias("name"), preview.uptime(EPOCH - F.col("created_at") * 1 - F.col("doc_id") * 3600).alias("age")), f"SELECT doc_id, session_id || '_' || artifact_id AS name, CASE WHEN t >= 86400 THEN (t // 86400) || 'd' || (t // 3600 % 24) || 'h' || (t // 60 % 60) || 'm' WHEN t >= 3600 THEN (t // 3600) || 'h' || (t // 60 % 60) || 'm' WHEN t >= 60 THEN (t // 60) || 'm' || (t % 60) || 's' ELSE t || 's' END AS age FROM (SELECT *, created_at - {EPOCH} + doc_id * 3600 AS t FROM m)")
 
 
 def operations(c) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,3 +38,30 @@ def converge(stream: DataFrame, apply, rebuild, checkpoint: str) -> StreamingQue
             rebuild(number)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def wait(token, after: int, every: float = 0.05, most: float = 5.0) -> int | None:
+    """Polls ``token()`` until it passes a cursor; the new token, or None when the time is over."""
+    end = time.monotonic() + most
+    while True:
+        now = token()
+        if now > after:
+            return now
+        if time.monotonic() >= end:
+            return None
+        time.sleep(every)
+
+
+def audited(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Events of a stream as rows of an audit table, each once."""
+    return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def indexed(stream: DataFrame, indexers: dict, sink, checkpoint: str) -> StreamingQuery:
+    """Derived rows of every batch of puts go to ``sink(rows, number)``: the reaction beside the write."""
+
+    def batch(rows: DataFrame, number: int) -> None:
+        for name, f in sorted(indexers.items()):
+            sink(f(rows.where("op = 'put'")).selectExpr("*", f"'{name}' AS index"), number)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
