@@ -5,6 +5,7 @@ import os
 
 import pytest
 
+from tidemark.plans import more_queries  # noqa: F401  (registers)
 from tidemark.plans.catalog_queries import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")

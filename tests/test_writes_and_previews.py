@@ -94,7 +94,7 @@ def test_previews(spark):
     assert [r.j for r in got[3:]] == [None] * 5 and [r.x for r in got[3:]] == [None] * 5 and got[4].c is None and got[7].c is None
     one = lambda c: spark.range(1).select(c.alias("v")).first().v
     assert one(preview.media_type(F.lit("a.b/c"))) == "" and one(preview.media_type(F.lit("x/y.JSON"))) == "application/json" and one(preview.media_type(F.lit("y.png"), F.lit("own/type"))) == "own/type"
-    assert [one(preview.uptime(F.lit(n))) for n in (0, 61, 3661, 90000)] == ["0s", "1m 1s", "1h 1m", "1d 1h"]
+    assert [one(preview.uptime(F.lit(n))) for n in (0, 61, 3661, 90000)] == ["0s", "1m1s", "1h1m", "1d1h0m"]
     assert one(preview.checkpoint_id(F.expr("timestamp'2024-01-02 03:04:05.000006'"))) == "20240102T030405.000006000Z"
 
 

@@ -84,7 +84,7 @@ def fragment_error(payload: Column, start: int, end: int) -> Column:
 
 
 #: What each stage does to a payload, and back.
-STAGES = {"zstd": (compress, decompress), "hex": (lambda c: F.encode(F.hex(c), "utf-8"), lambda c: F.unhex(F.decode(c, "utf-8"))), "base64": (lambda c: F.encode(F.base64(c), "utf-8"), lambda c: F.unbase64(F.decode(c, "utf-8")))}
+STAGES = {"zstd": (compress, decompress), "hex": (lambda c: F.encode(F.hex(c), "utf-8"), lambda c: F.unhex(F.decode(c, "utf-8"))), "base64": (lambda c: F.encode(F.translate(F.base64(c), "\r\n", ""), "utf-8"), lambda c: F.unbase64(F.decode(c, "utf-8")))}
 
 
 def run_stages(rows: DataFrame, stages: list[str], payload: str = "payload") -> DataFrame:
