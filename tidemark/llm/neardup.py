@@ -98,6 +98,11 @@ def class_id(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def short(class_: bytes) -> int:
+    """The half of a class by which fingerprints name it; classes that share it are told apart again before any text is compared."""
+    return int.from_bytes(class_[:8], "little", signed=True)
+
+
 def bands() -> list[int]:
     edges = [1]
     while edges[-1] < 1 << 40:
@@ -166,7 +171,7 @@ def _emit(docs: DataFrame, text: str, ident: str, parts: int) -> DataFrame:
                 seen.add(c)
                 for k in band_of(len(s)):
                     f, n = fingerprints(s, k)
-                    who.append(c)
+                    who.append(short(c))
                     band.append(k)
                     full.append(n)
                     count.append(len(f))
@@ -178,8 +183,7 @@ def _emit(docs: DataFrame, text: str, ident: str, parts: int) -> DataFrame:
                 order = np.argsort(part, kind="stable")
                 flat, entry, part = flat[order], entry[order], part[order]
                 cuts = np.append(np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])), len(part))
-                names = np.frombuffer(b"".join(who), np.int64).reshape(-1, 2).T
-                head = np.concatenate([names, np.array([band, full], np.int64)])
+                head = np.array([who, band, full], np.int64)
                 for k, p in enumerate(part[cuts[:-1]].tolist()):
                     own = entry[cuts[k] : cuts[k + 1]]
                     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -187,7 +191,7 @@ def _emit(docs: DataFrame, text: str, ident: str, parts: int) -> DataFrame:
                     ps.append(p)
                     blobs.append(np.int64(len(first)).tobytes() + head[:, own[first]].tobytes() + n.astype(np.int64).tobytes() + flat[cuts[k] : cuts[k + 1]].tobytes())
             m, k = len(classes), len(ps)
-            cols = [pa.array([int.from_bytes(c[:8], "little") % parts for c in classes] + ps, pa.int32()), pa.array([None] * m + blobs, pa.binary()), pa.concat_arrays([ids, pa.nulls(k, ids.type)]), pa.array(n_set + [None] * k, pa.int64()), pa.array(classes + [None] * k, pa.binary())]
+            cols = [pa.array([short(c) % parts for c in classes] + ps, pa.int32()), pa.array([None] * m + blobs, pa.binary()), pa.concat_arrays([ids, pa.nulls(k, ids.type)]), pa.array(n_set + [None] * k, pa.int64()), pa.array(classes + [None] * k, pa.binary())]
             bits = np.array(sketches, np.int64).reshape(m, DENSE)
             cols += [pa.concat_arrays([pa.array(np.ascontiguousarray(bits[:, i])), pa.nulls(k, pa.int64())]) for i in range(DENSE)]
             yield pa.RecordBatch.from_arrays(cols, names=["p", "blob", "id", "n", "class", *SKETCH])
@@ -207,23 +211,15 @@ def _meet(table: pa.Table) -> pa.Table:
     """One partition of fingerprints: pairs of small groups (kind 0) and members of hot ones (kind 1); documents pass (kind 2)."""
     blobs = table.column("blob")
     docs = table.filter(blobs.is_null())
-    head, count, keys = [np.empty((4, 0), np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    head, count, keys = [np.empty((3, 0), np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for blob in blobs.drop_null():
         raw = blob.as_buffer()
         n = int(np.frombuffer(raw, np.int64, 1)[0])
-        x = np.frombuffer(raw, np.int64, 5 * n, 8).reshape(5, n)
-        head.append(x[:4])
-        count.append(x[4])
-        keys.append(np.frombuffer(raw, np.uint64, offset=8 + 40 * n))
+        x = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n)
+        head.append(x[:3])
+        count.append(x[3])
+        keys.append(np.frombuffer(raw, np.uint64, offset=8 + 32 * n))
     head, key = np.concatenate(head, axis=1), np.concatenate(keys).view(np.int64)
-    # inside the partition a class is a small number: its place among the distinct ones
-    order = np.lexsort((head[1], head[0]))
-    name = head[:2, order]
-    step = np.ones(len(order), np.int64)
-    step[1:] = (name[:, 1:] != name[:, :-1]).any(axis=0)
-    number = np.empty(len(order), np.int64)
-    number[order] = np.cumsum(step) - 1
-    name = name[:, step == 1]
     entry = np.repeat(np.arange(head.shape[1]), np.concatenate(count))
     order = np.argsort(key, kind="stable")
     key, entry = key[order], entry[order]
@@ -232,7 +228,7 @@ def _meet(table: pa.Table) -> pa.Table:
     multi[1:] |= same
     multi[:-1] |= same
     key, entry = key[multi], entry[multi]
-    who = number[entry]
+    who = head[0][entry]
     order = np.lexsort((who, key))
     key, entry, who = key[order], entry[order], who[order]
     fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])]) if len(key) else np.empty(0, bool)
@@ -253,18 +249,16 @@ def _meet(table: pa.Table) -> pa.Table:
     m = docs.num_rows
     kind = docs.schema.field("id").type
 
-    def named(numbers: np.ndarray) -> pa.Array:
-        raw = np.ascontiguousarray(name[:, numbers].T).tobytes()
-        return pa.Array.from_buffers(pa.binary(16), len(numbers), [None, pa.py_buffer(raw)]).cast(pa.binary())
-
     members = pa.chunked_array(docs.column("class").chunks, pa.binary()).combine_chunks()
+    halves = np.array([short(c) for c in members.to_pylist()], np.int64)
     cols = {
         "kind": np.concatenate([np.zeros(n, np.int32), np.ones(h, np.int32), np.full(m, 2, np.int32)]),
         "key": np.concatenate([np.zeros(n, np.int64), key[hot], np.zeros(m, np.int64)]),
-        "a": pa.concat_arrays([named(np.concatenate([a, who[hot]])), members]),
-        "b": pa.concat_arrays([named(b), pa.nulls(h + m, pa.binary())]),
-        "n": np.concatenate([np.zeros(n, np.int64), head[3][entry[hot]], docs.column("n").to_numpy()]),
-        "band": np.concatenate([np.zeros(n, np.int32), head[2][entry[hot]].astype(np.int32), np.zeros(m, np.int32)]),
+        "a": np.concatenate([a, who[hot], halves]),
+        "b": np.concatenate([b, np.zeros(h + m, np.int64)]),
+        "n": np.concatenate([np.zeros(n, np.int64), head[2][entry[hot]], docs.column("n").to_numpy()]),
+        "band": np.concatenate([np.zeros(n, np.int32), head[1][entry[hot]].astype(np.int32), np.zeros(m, np.int32)]),
+        "class": pa.concat_arrays([pa.nulls(n + h, pa.binary()), members]),
         "id": pa.concat_arrays([pa.nulls(n + h, kind), *docs.column("id").chunks]),
     }
     cols |= {x: pa.concat_arrays([pa.nulls(n + h, pa.int64()), *docs.column(x).chunks]) for x in SKETCH}
@@ -355,21 +349,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     src = docs.select(ident, text)
     parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(src) // PART)
     met = _emit(src, text, ident, parts)
-    shape = f"kind int, key long, a binary, b binary, n long, band int, id {met.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in SKETCH)
+    shape = f"kind int, key long, a long, b long, n long, band int, class binary, id {met.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in SKETCH)
     met = written(met.groupBy("p").applyInArrow(_meet, shape))
     released(spark)
-    rows = met.where("kind = 2").select(F.col("id").alias("__id"), F.col("n").alias("n_shingles"), F.col("a").alias("class"))
-    hot = met.where("kind = 1").select("band", "key", F.col("a").alias("class"), F.col("n").alias("full"))
+    rows = met.where("kind = 2").select(F.col("id").alias("__id"), F.col("n").alias("n_shingles"), "class")
+    sketch = written(met.where("kind = 2 AND n > 0").select("class", F.col("a").alias("short"), F.col("n").alias("n_shingles"), *SKETCH).dropDuplicates(["class"]))
+    hot = met.where("kind = 1").select("band", "key", F.col("a").alias("short"), F.col("n").alias("full"))
     limit = F.element_at(F.array(*[F.lit(most(k)) for k in range(len(EDGES) - 1)]), F.col("band") + 1)
-    need = hot.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"), F.max("full").alias("full")).where(F.col("full") - F.col("n") <= limit).select("band", "class", "n")
-    hot = written(hot.join(need, ["band", "class"]).select("band", "key", "class", "n"))
+    need = hot.groupBy("band", "short").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("full")).where(F.col("full") - F.col("n") <= limit).select("band", "short", "n")
+    hot = written(hot.join(need, ["band", "short"]).join(sketch.select("short", "class"), "short").select("band", "key", "class", "n"))
     # the centre of a star is the member with most hot fingerprints: the text that most others are copies of
     centre = hot.groupBy("band", "key").agg(F.max_by("class", F.struct("n", "class")).alias("a"))
     hot = hot.drop("n")
     star = hot.join(centre, ["band", "key"]).where("a != class").groupBy("a", F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("w"))
-    pairs = met.where("kind = 0").select("a", "b", F.lit(0).cast("long").alias("w")).union(star).groupBy("a", "b").agg(F.max("w").alias("w"))
-    sketch = written(met.where("kind = 2 AND n > 0").select(F.col("a").alias("class"), F.col("n").alias("n_shingles"), *SKETCH).dropDuplicates(["class"]))
-    pairs = pairs.join(sketch.alias("l"), F.col("a") == F.col("l.class")).join(sketch.alias("r"), F.col("b") == F.col("r.class")).where(_near("l", "r")).select("a", "b", "w")
+    cold = met.where("kind = 0").select("a", "b").distinct()
+    l, r = sketch.alias("l"), sketch.alias("r")  # noqa: E741
+    cold = cold.join(l, F.col("a") == F.col("l.short")).join(r, F.col("b") == F.col("r.short")).where(_near("l", "r")).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"), F.lit(0).cast("long").alias("w"))
+    star = star.join(l, F.col("a") == F.col("l.class")).join(r, F.col("b") == F.col("r.class")).where(_near("l", "r")).select("a", "b", "w")
+    # different classes under one half
+    twins = sketch.groupBy("short").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("a", "b", F.lit(0).cast("long").alias("w"))
+    pairs = cold.union(star).union(twins).groupBy("a", "b").agg(F.max("w").alias("w"))
     pairs = written(pairs)
     one = rows.where("n_shingles > 0").groupBy("class").agg(F.min("__id").alias("__want"))
     texts = written(_texts(docs, text, ident, one, pairs))
