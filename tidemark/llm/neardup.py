@@ -357,18 +357,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     hot = met.where("kind = 1").select("band", "key", F.col("a").alias("short"), F.col("n").alias("full"))
     limit = F.element_at(F.array(*[F.lit(most(k)) for k in range(len(EDGES) - 1)]), F.col("band") + 1)
     need = hot.groupBy("band", "short").agg(F.count(F.lit(1)).alias("n"), F.min("full").alias("full")).where(F.col("full") - F.col("n") <= limit).select("band", "short", "n")
-    hot = written(hot.join(need, ["band", "short"]).join(sketch.select("short", "class"), "short").select("band", "key", "class", "n"))
+    hot = written(hot.join(need, ["band", "short"]).select("band", "key", "short", "n"))
     # the centre of a star is the member with most hot fingerprints: the text that most others are copies of
-    centre = hot.groupBy("band", "key").agg(F.max_by("class", F.struct("n", "class")).alias("a"))
-    hot = hot.drop("n")
-    star = hot.join(centre, ["band", "key"]).where("a != class").groupBy("a", F.col("class").alias("b")).agg(F.count(F.lit(1)).alias("w"))
-    cold = met.where("kind = 0").select("a", "b").distinct()
+    centre = hot.groupBy("band", "key").agg(F.max_by("short", F.struct("n", "short")).alias("a"))
+    star = hot.join(centre, ["band", "key"]).where("a != short").groupBy("a", F.col("short").alias("b")).agg(F.count(F.lit(1)).alias("w"))
+    met_pairs = met.where("kind = 0").select("a", "b", F.lit(0).cast("long").alias("w")).union(star).groupBy("a", "b").agg(F.max("w").alias("w"))
     l, r = sketch.alias("l"), sketch.alias("r")  # noqa: E741
-    cold = cold.join(l, F.col("a") == F.col("l.short")).join(r, F.col("b") == F.col("r.short")).where(_near("l", "r")).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"), F.lit(0).cast("long").alias("w"))
-    star = star.join(l, F.col("a") == F.col("l.class")).join(r, F.col("b") == F.col("r.class")).where(_near("l", "r")).select("a", "b", "w")
+    named = met_pairs.join(l, F.col("a") == F.col("l.short")).join(r, F.col("b") == F.col("r.short")).where(_near("l", "r")).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"), "w")
     # different classes under one half
     twins = sketch.groupBy("short").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("a", "b", F.lit(0).cast("long").alias("w"))
-    pairs = cold.union(star).union(twins).groupBy("a", "b").agg(F.max("w").alias("w"))
+    pairs = named.union(twins)
     pairs = written(pairs)
     one = rows.where("n_shingles > 0").groupBy("class").agg(F.min("__id").alias("__want"))
     texts = written(_texts(docs, text, ident, one, pairs))
@@ -385,22 +383,25 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
             label = components(edges)
     released(spark)
     # pairs of different components that share a hot fingerprint: the dense sketches thin them first
-    tagged = hot.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
+    tagged = hot.join(sketch.select("short", "class"), "short").select("band", "key", "class").join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     split = tagged.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
     rest = written(tagged.join(split, ["band", "key"], "left_semi").distinct())
     if not rest.isEmpty():
         meets = (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp")) & _near("l", "r")
         # merge joins: a small file may hold many rows, too many to broadcast
         rest = rest.withColumn("prior", F.lag("key").over(Window.partitionBy("band", "class").orderBy("key")))
-        # the members of a fingerprint are dealt to tasks of about SPREAD on the one side; the other side meets each of them
-        salts = rest.groupBy("band", "key").agg((F.lit(1) + F.floor(F.count(F.lit(1)) / SPREAD)).cast("int").alias("salts"))
-        full = rest.join(sketch.hint("merge"), "class").join(salts, ["band", "key"])
-        l = full.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).alias("l")  # noqa: E741
-        r = full.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).alias("r").hint("merge")
-        meets = meets & (F.col("l.salt") == F.col("r.salt"))
         # not again where the fingerprints before this one are shared too
-        cond = meets & (F.col("l.class") < F.col("r.class")) & F.coalesce(F.col("l.prior") != F.col("r.prior"), F.lit(True))
-        more = written(l.join(r, cond).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")).distinct())
+        meets = meets & (F.col("l.class") < F.col("r.class")) & F.coalesce(F.col("l.prior") != F.col("r.prior"), F.lit(True))
+        big = written(rest.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SPREAD))
+        full = rest.join(big.select("band", "key"), ["band", "key"], "left_anti").join(sketch.hint("merge"), "class")
+        more = full.alias("l").join(full.alias("r").hint("merge"), meets).select(F.col("l.class").alias("a"), F.col("r.class").alias("b"))
+        if not big.isEmpty():
+            # members of a larger fingerprint are dealt to tasks of about SPREAD on the one side; the other side meets each of them
+            full = rest.join(big, ["band", "key"]).join(sketch.hint("merge"), "class").withColumn("salts", F.expr(f"CAST(1 + n div {SPREAD} AS int)"))
+            l = full.withColumn("salt", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int")).alias("l")  # noqa: E741
+            r = full.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).alias("r").hint("merge")
+            more = more.union(l.join(r, meets & (F.col("l.salt") == F.col("r.salt"))).select(F.col("l.class").alias("a"), F.col("r.class").alias("b")))
+        more = written(more.distinct())
         texts = _texts(docs, text, ident, one, more) if not more.isEmpty() else texts
         found = written(_verified(more, texts))
         if not found.isEmpty():
