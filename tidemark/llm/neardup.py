@@ -347,7 +347,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     """
     spark = docs.sparkSession
     src = docs.select(ident, text)
-    parts = max(12, int(spark.conf.get("spark.sql.shuffle.partitions")), input_bytes(src) // PART)
+    # from the input alone: each further partition repeats the heads of the sets that it takes fingerprints of
+    size = input_bytes(src)
+    parts = max(12, size // PART if size else int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = _emit(src, text, ident, parts)
     shape = f"kind int, key long, a long, b long, n long, band int, class binary, id {met.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in SKETCH)
     met = written(met.groupBy("p").applyInArrow(_meet, shape))
