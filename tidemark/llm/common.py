@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import gc
 import hashlib
@@ -33,6 +34,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Paths of the tables that ``written`` makes, for each ``recorded`` that is open.
+_open: list[list[str]] = []
+
+
 def _file_system(spark: SparkSession, path: str):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
@@ -52,9 +57,36 @@ def written(df: DataFrame) -> DataFrame:
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
+    for paths in _open:
+        paths.append(path)
     return out
 
 
+@contextlib.contextmanager
+def recorded(paths: list[str]) -> Iterator[None]:
+    """Add the paths of all tables written inside to the list."""
+    _open.append(paths)
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
+def swept(reads: DataFrame, paths: list[str]) -> None:
+    """Remove the recorded tables but those that ``reads`` is made from, and the shuffle files of finished steps.
+
+    The list keeps what stays.  The caller answers for every other plan over these tables.
+    """
+    spark = reads.sparkSession
+    read = {part for file in reads.inputFiles() for part in file.split("/")[-2:]}
+    gone = [path for path in paths if path.rsplit("/", 1)[1] not in read]
+    for path in gone:
+        fs, where = _file_system(spark, path)
+        fs.delete(where, True)
+    paths[:] = [path for path in paths if path not in gone]
+    released(spark)
+
+
 def discarded(*tables: DataFrame) -> None:
     """Remove written tables that no later plan reads."""
     for df in tables:

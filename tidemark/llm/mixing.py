@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import ROW, numbered, word_array, written
+from .common import ROW, numbered, recorded, swept, word_array, written
 
 #: Entropy to reach, as a share of the entropy of equal weights.
 ENTROPY = 0.92
@@ -115,6 +115,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", ident: str
     sort by ranges of (block, place).
     """
     rows = numbered(docs)
-    order = plan(rows, text, source, ident, entropy, repeat, block, (ROW,)).select(ROW, F.col("block").alias("__block"), F.col("place").alias("__place"))
+    steps: list[str] = []
+    with recorded(steps):
+        order = written(plan(rows, text, source, ident, entropy, repeat, block, (ROW,)).select(ROW, F.col("block").alias("__block"), F.col("place").alias("__place")))
+    swept(order, steps)
     out = rows.join(order, ROW).orderBy("__block", "__place")
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

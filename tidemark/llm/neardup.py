@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import ROW, discarded, input_bytes, numbered, released, tidied, written
+from .common import ROW, discarded, input_bytes, numbered, recorded, released, swept, tidied, written
 
 SHINGLE = 5
 #: Linked when HUNDREDTHS * union <= 100 * intersection.
@@ -421,7 +421,10 @@ def keep_one(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> Data
     number stays.  Texts without words are left alone.  Rows that repeat an identifier are told apart.
     """
     rows = numbered(docs)
-    found = written(near_duplicates(rows, text, ROW).where("n_shingles > 0").select(ROW, F.col("component_id").alias("__comp")))
+    steps: list[str] = []
+    with recorded(steps):
+        found = written(near_duplicates(rows, text, ROW).where("n_shingles > 0").select(ROW, F.col("component_id").alias("__comp")))
+    swept(found, steps)
     # a component of one row needs no look at its identifier
     many = found.where(F.col(ROW) != F.col("__comp")).select("__comp").distinct()
     met = written(found.join(many, "__comp").join(rows.select(ROW, F.col(ident).alias("__ident")), ROW))
