@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import importlib
 import random
 import re
 import zlib
@@ -576,6 +577,24 @@ def test_pipeline_stages_keep_the_columns(spark, docs):
     assert all(r.decoded_sha256 == hashlib.sha256(text[r.doc_id].encode()).hexdigest() for r in ids)
 
 
+def test_pipeline_keeps_no_tables_of_earlier_stages(spark, tmp_path):
+    common = importlib.import_module("tidemark.llm.common")
+    fs, where = common._file_system(spark, f"{common.shared_folder(spark)}/tidemark-{spark.sparkContext.applicationId}")
+    names = lambda: {x.getPath().getName() for x in fs.listStatus(where)} if fs.exists(where) else set()
+    before, results = names(), [corpus_pipeline.run(spark, SF), corpus_pipeline.run(spark, SF)]
+    # each result can still be read, and nothing but its last table is left
+    rows = [sorted(tuple(r)[:2] for r in out.select("doc_id", "ids_sha256").collect()) for out in results]
+    assert rows[0] == rows[1] and rows[0]
+    assert len(names() - before) == 2
+    made: list[str] = []
+    with common.recorded(made):
+        one = common.written(spark.range(5))
+        two = common.written(spark.range(7))
+    common.swept(one.where("id > 2"), made)
+    assert one.count() == 5 and [p.rsplit("/", 1)[1] for p in made] == [one._written_at.rsplit("/", 1)[1]]
+    assert two._written_at.rsplit("/", 1)[1] not in names()
+
+
 def test_pipeline_stages_decide_by_row(spark):
     rng = random.Random(8)
     text = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
