@@ -30,7 +30,7 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame
 
-from .common import tidied
+from .common import small_batches, tidied
 
 #: Entries, and characters, of the per-process word cache before it is emptied (memory bound, no effect on results).
 CACHE, CACHED = 200_000, 1 << 24
@@ -345,6 +345,7 @@ def encode_decode(docs: DataFrame, path: str | None = None, text: str = "text",
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids])
                 place += len(part)
 
+    small_batches(docs.sparkSession)
     return src.mapInArrow(tidied(run), schema)
 
 
@@ -414,4 +415,5 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", c
             cols = [batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*cols, size, pa.array(counts), pa.array(counts > limit)], names=[*names, "n_bytes", "n_tokens", "over_limit"])
 
+    small_batches(docs.sparkSession)
     return src.mapInArrow(tidied(run), schema)

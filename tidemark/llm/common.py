@@ -116,6 +116,17 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows that travel to a Python worker at a time, where the session sets no number of its own.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a worker holds at once: it makes several arrays of each byte of a batch of texts.  Results do not depend on it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH))
+
+
 def tidy() -> None:
     """Give free memory of this Python worker back to the system: Spark keeps workers for later tasks of other stages."""
     pa.default_memory_pool().release_unused()

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import ROW, discarded, input_bytes, numbered, recorded, released, swept, tidied, written
+from .common import ROW, discarded, input_bytes, numbered, recorded, released, small_batches, swept, tidied, tidy, written
 
 SHINGLE = 5
 #: Linked when HUNDREDTHS * union <= 100 * intersection.
@@ -152,6 +152,7 @@ def fingerprints(s: np.ndarray, k: int) -> tuple[np.ndarray, int]:
 def _emit(docs: DataFrame, text: str, ident: str, parts: int) -> DataFrame:
     """One pass over the texts: a row (id, n, class) for each document, and fingerprints packed by target
     partition (for each class and band its keys, 8 bytes each)."""
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(ident).alias("__id"), F.col(text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,6 +263,7 @@ def _meet(table: pa.Table) -> pa.Table:
         "id": pa.concat_arrays([pa.nulls(n + h, kind), *docs.column("id").chunks]),
     }
     cols |= {x: pa.concat_arrays([pa.nulls(n + h, pa.int64()), *docs.column(x).chunks]) for x in SKETCH}
+    tidy()
     return pa.table(cols)
 
 

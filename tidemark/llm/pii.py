@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sha256_hex, tidied
+from .common import sha256_hex, small_batches, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -289,6 +289,7 @@ def personal_data(docs: DataFrame, text: str = "text", carry: tuple[str, ...] =
             cols = [batch.column(i) for i in range(len(names))] + [pa.array(list(c), k) for c, k in zip(found, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(cols, names=[*names, *[f"n_{k}" for k in KINDS], "base_sha256", "spans", "n_added"])
 
+    small_batches(docs.sparkSession)
     return src.mapInArrow(tidied(run), schema)
 
 
@@ -322,6 +323,7 @@ def masked(docs: DataFrame, text: str = "text", length: str | None = "n_chars")
             new = pa.array([None if (v := x.as_py()) is None else mask(v) for x in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([new if i == at else batch.column(i) for i in range(len(names))], schema=batch.schema)
 
+    small_batches(docs.sparkSession)
     out = docs.mapInArrow(tidied(run), docs.schema)
     if length in names:
         kind = docs.schema[length].dataType
