@@ -208,11 +208,16 @@ def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[fresh], b[fresh]
 
 
+#: A partition's fingerprints are sorted in so many slices, by their high bits.
+SLICE_BITS = 3
+SLICES = 1 << SLICE_BITS
+
+
 def _meet(table: pa.Table) -> pa.Table:
     """One partition of fingerprints: pairs of small groups (kind 0) and members of hot ones (kind 1); documents pass (kind 2)."""
     blobs = table.column("blob")
     docs = table.filter(blobs.is_null())
-    head, count, keys = [np.empty((3, 0), np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    head, count, keys = [np.empty((3, 0), np.int64)], [], []
     for blob in blobs.drop_null():
         raw = blob.as_buffer()
         n = int(np.frombuffer(raw, np.int64, 1)[0])
@@ -220,33 +225,45 @@ def _meet(table: pa.Table) -> pa.Table:
         head.append(x[:3])
         count.append(x[3])
         keys.append(np.frombuffer(raw, np.uint64, offset=8 + 32 * n))
-    head, key = np.concatenate(head, axis=1), np.concatenate(keys).view(np.int64)
-    entry = np.repeat(np.arange(head.shape[1]), np.concatenate(count))
-    order = np.argsort(key, kind="stable")
-    key, entry = key[order], entry[order]
-    same = key[1:] == key[:-1]
-    multi = np.zeros(len(key), bool)
-    multi[1:] |= same
-    multi[:-1] |= same
-    key, entry = key[multi], entry[multi]
-    who = head[0][entry]
-    order = np.lexsort((who, key))
-    key, entry, who = key[order], entry[order], who[order]
-    fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])]) if len(key) else np.empty(0, bool)
-    key, entry, who = key[fresh], entry[fresh], who[fresh]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
-    size = np.diff(np.append(start, len(key)))
+    first = np.cumsum([0, *map(len, count)])
+    head = np.concatenate(head, axis=1)
     left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for n in range(2, FEW + 1):
-        at = start[size == n]
-        for i in range(n):
-            for j in range(i + 1, n):
-                u, v = distinct(who[at + i], who[at + j])
-                left.append(u)
-                right.append(v)
+    hot_key, hot_entry = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    # equal keys share their high bits: a slice at a time bounds the sorted copies
+    for high in range(SLICES):
+        key, entry = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        for k, own in enumerate(keys):
+            pick = own >> np.uint64(64 - SLICE_BITS) == high
+            key.append(own[pick])
+            entry.append(np.repeat(np.arange(first[k], first[k + 1]), count[k])[pick])
+        key, entry = np.concatenate(key).view(np.int64), np.concatenate(entry)
+        order = np.argsort(key, kind="stable")
+        key, entry = key[order], entry[order]
+        same = key[1:] == key[:-1]
+        multi = np.zeros(len(key), bool)
+        multi[1:] |= same
+        multi[:-1] |= same
+        key, entry = key[multi], entry[multi]
+        who = head[0][entry]
+        order = np.lexsort((who, key))
+        key, entry, who = key[order], entry[order], who[order]
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (who[1:] != who[:-1])]) if len(key) else np.empty(0, bool)
+        key, entry, who = key[fresh], entry[fresh], who[fresh]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        size = np.diff(np.append(start, len(key)))
+        for n in range(2, FEW + 1):
+            at = start[size == n]
+            for i in range(n):
+                for j in range(i + 1, n):
+                    u, v = distinct(who[at + i], who[at + j])
+                    left.append(u)
+                    right.append(v)
+        hot = np.repeat(size > FEW, size)
+        hot_key.append(key[hot])
+        hot_entry.append(entry[hot])
     a, b = distinct(np.concatenate(left), np.concatenate(right))
-    hot = np.repeat(size > FEW, size)
-    n, h = len(a), int(hot.sum())
+    key, entry = np.concatenate(hot_key), np.concatenate(hot_entry)
+    n, h = len(a), len(key)
     m = docs.num_rows
     kind = docs.schema.field("id").type
 
@@ -254,11 +271,11 @@ def _meet(table: pa.Table) -> pa.Table:
     halves = np.array([short(c) for c in members.to_pylist()], np.int64)
     cols = {
         "kind": np.concatenate([np.zeros(n, np.int32), np.ones(h, np.int32), np.full(m, 2, np.int32)]),
-        "key": np.concatenate([np.zeros(n, np.int64), key[hot], np.zeros(m, np.int64)]),
-        "a": np.concatenate([a, who[hot], halves]),
+        "key": np.concatenate([np.zeros(n, np.int64), key, np.zeros(m, np.int64)]),
+        "a": np.concatenate([a, head[0][entry], halves]),
         "b": np.concatenate([b, np.zeros(h + m, np.int64)]),
-        "n": np.concatenate([np.zeros(n, np.int64), head[2][entry[hot]], docs.column("n").to_numpy()]),
-        "band": np.concatenate([np.zeros(n, np.int32), head[1][entry[hot]].astype(np.int32), np.zeros(m, np.int32)]),
+        "n": np.concatenate([np.zeros(n, np.int64), head[2][entry], docs.column("n").to_numpy()]),
+        "band": np.concatenate([np.zeros(n, np.int32), head[1][entry].astype(np.int32), np.zeros(m, np.int32)]),
         "class": pa.concat_arrays([pa.nulls(n + h, pa.binary()), members]),
         "id": pa.concat_arrays([pa.nulls(n + h, kind), *docs.column("id").chunks]),
     }
