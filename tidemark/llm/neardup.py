@@ -41,7 +41,7 @@ GROWTH = 1.6
 #: A fingerprint in up to so many classes gives all their pairs; above, the star and the rest give the same links.
 FEW = 8
 #: Bytes of input (as stored) whose fingerprints one partition takes.
-PART = 1 << 25
+PART = 1 << 24
 #: 64-bit words of the dense parity sketch that thins pairs before their texts are fetched.
 DENSE = 16
 SKETCH = [f"s{i}" for i in range(DENSE)]
@@ -368,7 +368,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     src = docs.select(ident, text)
     # from the input alone: each further partition repeats the heads of the sets that it takes fingerprints of
     size = input_bytes(src)
-    parts = max(12, size // PART if size else int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = max(24, size // PART if size else int(spark.conf.get("spark.sql.shuffle.partitions")))
     met = _emit(src, text, ident, parts)
     shape = f"kind int, key long, a long, b long, n long, band int, class binary, id {met.schema['id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in SKETCH)
     met = written(met.groupBy("p").applyInArrow(_meet, shape))
