@@ -109,6 +109,35 @@ def test_put_batch_and_stages(spark):
     assert bytes(back[0].payload) == b"x" * 5000 and back[1].payload is None
 
 
+def test_put_batch_leaves_no_ties(spark):
+    blobs = spark.createDataFrame([], "blob_ref string, content_hash string, original_size long, crypto_identity string, ref_count long")
+    c = sources.Catalog(None, None, None, blobs, None)
+    text = bytearray(b"x" * 5000)
+    rows = [({"k": i}, i, text, "s", "{}", None) for i in range(9, 1, -1)] + [({}, 1, text, None, "{}", None), ({}, 0, text, "s", None, None)]
+    put = spark.createDataFrame(rows, "tags map<string,int>, id long, payload binary, session_id string, ext string, retention_until long").coalesce(1)
+    assert [r.id for r in writes.put_batch(put, c, 0).where("action = 'stored'").collect()] == [2]
+    dated = put.where("id > 1").select(F.lit(1).alias("id"), "payload", "session_id", "ext", F.col("id").alias("retention_until"))
+    assert [r.retention_until for r in writes.put_batch(dated, c, 0).where("action = 'stored'").collect()] == [2]
+
+
+def test_put_batch_query_gives_ties_to_the_smallest_document(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import more_queries  # noqa: F401  (registers)
+    from tidemark.plans.catalog_queries import ORACLES, QUERIES
+
+    same = 2 * 11 * 13 * 37  # documents so far apart have the same metadata and the same parity
+    docs = [(first + k * same, letter * 5000, "en", "src0") for first, letter in ((1, "a"), (3, "b"), (5, "c"), (2, "d")) for k in range(5, -1, -1)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3, "error")], "event_id long, event_type string").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "events"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = QUERIES["put_batch"](spark, str(tmp_path)).select("doc_id", "artifact_id", "action", "blob_ref").collect()
+    assert sorted(r.doc_id for r in got if r.action == "stored") == [1, 3, 5]
+    assert sorted(map(tuple, got)) == sorted(con.sql(ORACLES["put_batch"]).fetchall())
+
+
 def test_random_access_needs_plain_bytes(spark):
     rows = spark.createDataFrame([("inline", bytearray(b"0123456789")), ("target", bytearray(b"0123")), ("corrupt", None)], "state string, payload binary")
     assert [r.part_state for r in reads.read_at(rows, 2, 4).collect()] == ["ok", "end", "corrupt"]

@@ -133,20 +133,24 @@ def put_batch(incoming: DataFrame, c: Catalog, now: int, inline_limit: int = 409
     """Artifacts (payload, session_id, ext, retention_until) as put rows: MANIFEST_COLUMNS, action, stored and inline.
 
     action tells where the payload goes: inline (at most the limit), deduplicated (a blob with the same content and
-    size is there, or comes earlier in the batch), stored (new bytes, in column stored).  One aggregate and one join by
-    content; nothing is looked up row by row.
+    size is there, or comes earlier in the batch), stored (new bytes, in column stored).  A batch is in the order of
+    session and ext, nulls last; ties go by the other columns that it carries, as far as their types have an order, so
+    no tie is left between rows that differ in them.  One aggregate and one join by content; nothing is looked up row by row.
     """
     rows = incoming.withColumn("original_size", F.octet_length("payload").cast("long"))
     rows = run_stages(rows, list(stages)).withColumn("artifact_id", handle(F.col("content_hash"))).withColumn("created_at", F.lit(now).cast("long"))
     inline = F.col("original_size") <= inline_limit
     known = c.blobs.where("crypto_identity = ''").groupBy("content_hash", "original_size").agg(F.min("blob_ref").alias("known"))
     rows = rows.join(known, ["content_hash", "original_size"], "left")
-    first = F.row_number().over(Window.partitionBy("content_hash", "original_size").orderBy("session_id", "ext"))
+    carried = [x for x in incoming.columns if x not in ("payload", *MANIFEST_COLUMNS)]
+    ordered = [x for x, kind in incoming.dtypes if x in carried and "map<" not in kind and "variant" not in kind]
+    order = [F.asc_nulls_last(x) for x in ("session_id", "ext", *ordered, "retention_until")]
+    first = F.row_number().over(Window.partitionBy("content_hash", "original_size").orderBy(*order))
     rows = rows.withColumn("action", F.when(inline, "inline").when(F.col("known").isNotNull() | (first > 1), "deduplicated").otherwise("stored"))
     rows = rows.withColumn("blob_ref", F.when(~inline, F.coalesce("known", "blob_ref"))).withColumn("blob_refs", F.when(inline, F.array().cast("array<string>")).otherwise(F.array("blob_ref")))
     rows = rows.withColumn("document", manifest_document("ext", "artifact_id", "blob_refs", "content_hash", "created_at", "original_size", "session_id")).withColumn("manifest_digest", F.sha2("document", 256))
     rows = rows.withColumn("stored", F.when(F.col("action") == "stored", F.col("stored"))).withColumn("inline", F.when(inline, F.col("payload")))
-    return rows.select(*[x for x in incoming.columns if x not in ("payload", *MANIFEST_COLUMNS)], *MANIFEST_COLUMNS, "document", "action", "stored", "inline")
+    return rows.select(*carried, *MANIFEST_COLUMNS, "document", "action", "stored", "inline")
 
 
 def headless(payloads: DataFrame, now: int) -> DataFrame:
